@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lodestar.llm import packing
+from lodestar.llm import langid, packing, quality
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op3_quality_rules": quality.op3_quality_rules,
+    "op5_language_id": langid.op5_language_id,
 }
 
 ORACLES: dict[str, str] = {}
