@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -13,33 +14,42 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.binpack import pack_histogram
+from lodestar.llm.memo import Memo
 from lodestar.session import staged, table
 
 END = b"\0\0\0\0"
 
 
-class WordIds(dict):
-    """Token ids of words between plain white space, as little-endian bytes.
+class WordIds:
+    """Token ids of texts, as little-endian bytes.
 
-    The tokenizer drops white space and never looks across it, so a text's ids are those of its words in a row. This
-    is only a memo: when `most` words are held it starts anew.
+    The tokenizer drops white space and never looks across it, so a text's ids are those of its words in a row; and a
+    word of plain letters with signs after it is two units to its merge model. Both are kept in memos of fixed size;
+    all other words go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+    def __init__(self, path: str, words: int = 400_000, units: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.words, self.units = Memo(self.word, words), Memo(self.unit, units)
+        whole = self.tokenizer.pre_tokenizer.pre_tokenize_str  # spells bytes as characters
+        self.spelled = {i: whole(chr(i))[0][0] for i in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]}
+
+    def unit(self, unit: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(unit.translate(self.spelled))], "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
-        return ids
+    def word(self, word: str) -> bytes:
+        if plain := self.PLAIN.fullmatch(word):
+            letters, signs = plain.groups()
+            return self.units[letters.lower()] + (self.units[signs] if signs else b"")
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 @lru_cache(2)
