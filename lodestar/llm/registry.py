@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from lodestar.llm import langid, packing, quality
+from lodestar.llm import fingerprint, langid, neardup, packing, pii, quality, secrets
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op3_quality_rules": quality.op3_quality_rules,
     "op5_language_id": langid.op5_language_id,
+    "op6_fingerprints": fingerprint.op6_fingerprints,
+    "op7_pii": pii.op7_pii,
+    "op9_near_duplicates": neardup.op9_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {}
