@@ -300,9 +300,12 @@ def classes(docs: DataFrame, least: float = 0.8, guess: float = 0.65, tile: int
 
 
 def deduplicated(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """The rows of `docs` with one document of each class, the one with the smallest doc_id; of repeated rows one."""
-    stay = classes(docs, least).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The rows of `docs` with one document of each class, the one with the smallest doc_id; of repeated rows one.
+
+    Rows without a doc_id cannot be told apart and stay.
+    """
+    stay = classes(docs.where("doc_id is not null"), least).where("doc_id = class_id").select("doc_id").distinct()
+    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionAll(docs.where("doc_id is null"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
