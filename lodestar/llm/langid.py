@@ -36,8 +36,8 @@ def host_of(url: Column) -> Column:
 
 
 def suffix_of(host: Column) -> Column:
-    """What follows a host's last dot; the empty string for a name without one."""
-    return F.when(F.instr(host, ".") > 0, F.regexp_extract(host, r"\.([^.]*)$", 1)).otherwise(F.lit(""))
+    """What follows a host's last dot, without a port; the empty string for a name without a dot, null for none."""
+    return F.when(host.isNotNull(), F.regexp_extract(host, r"\.([^.:]*)(?::[0-9]*)?$", 1))
 
 
 def text_model(docs: DataFrame, sample: int, most_languages: int) -> tuple[list[str], np.ndarray]:

@@ -1,0 +1,128 @@
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from lodestar.llm import binpack
+from lodestar.llm.packing import WordIds, pack
+from tests.llm.helpers import AWKWARD, frame, prose
+
+
+def fewest(items, capacity):
+    """Fewest bins by trying all placements."""
+    items = sorted(items, reverse=True)
+    best = len(items)
+
+    def go(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(items):
+            best = len(bins)
+            return
+        for room in set(bins):
+            if room >= items[i]:
+                k = bins.index(room)
+                go(i + 1, [*bins[:k], room - items[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, capacity - items[i]])
+
+    go(0, [])
+    return best
+
+
+def hist_of(items):
+    out = {}
+    for x in items:
+        out[x] = out.get(x, 0) + 1
+    return out
+
+
+def holds(patterns, hist, capacity):
+    used = {}
+    for filling, times in patterns:
+        assert sum(x * n for x, n in filling) <= capacity and times > 0
+        for x, n in filling:
+            used[x] = used.get(x, 0) + n * times
+    assert used == hist
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_small_instances_are_optimal(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([20, 50, 100])
+    items = [rng.randint(capacity // 6, capacity * 2 // 3) for _ in range(rng.randint(1, 11))]
+    p = binpack.pack_histogram(hist_of(items), capacity)
+    holds(p.patterns, hist_of(items), capacity)
+    assert p.lower_bound <= fewest(items, capacity)
+    assert p.optimal and p.bins == fewest(items, capacity)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_classes_pack_as_single_items(seed):
+    rng = random.Random(seed)
+    items = [rng.randint(1, 60) for _ in range(400)]
+    rooms = []
+    for x in sorted(items, reverse=True):
+        fit = min((r for r in rooms if r >= x), default=None)
+        if fit is not None:
+            rooms.remove(fit)
+        rooms.append((100 if fit is None else fit) - x)
+    groups = binpack.best_fit(hist_of(items), 100)
+    holds(groups, hist_of(items), 100)
+    assert sum(m for _, m in groups) == len(rooms)
+
+
+def test_search_beats_best_fit_and_limits_hold():
+    better = 0
+    for seed in range(40):
+        rng = random.Random(seed)
+        hist = hist_of([rng.randint(20, 70) for _ in range(45)])
+        p = binpack.pack_histogram(hist, 100)
+        holds(p.patterns, hist, 100)
+        better += p.bins < sum(m for _, m in binpack.best_fit(hist, 100))
+    assert better
+    big = {x: 1000 + x for x in range(300, 900, 7)}
+    p = binpack.pack_histogram(big, 2048, nodes=500)
+    holds(p.patterns, big, 2048)
+    assert binpack.pack_histogram({}, 10).bins == 0
+    with pytest.raises(ValueError):
+        binpack.pack_histogram({11: 1}, 10)
+
+
+def test_word_memos_agree_with_the_tokenizer():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, words = Tokenizer.from_file(path), WordIds(path, words=50, units=20)
+    rng = random.Random(1)
+    alphabet = "abcXYZ éÉßñüÀÿ×÷ªºµ²'\"<|>_-.,!?&*0123\n\t\ŕ İſK日本😀"
+    for text in [*[t for t in AWKWARD if t], *("".join(rng.choices(alphabet, k=60)) for _ in range(300))]:
+        assert np.frombuffer(words.text(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_round_trip(spark):
+    rng = random.Random(2)
+    texts = [*AWKWARD, *(prose(rng, rng.randint(1, 900)) for _ in range(60)), *["same text here"] * 50, prose(rng, 6000)]
+    docs = frame(spark, texts, "length part rank ids start")
+    rows = pack(docs.unionAll(docs.where("doc_id = 20")), capacity=256).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    got, places = {}, {}
+    for r in rows:
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert len(ids) == r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] and r["start"] == r["piece"] * 256
+        got.setdefault(r["doc_id"], []).append((r["piece"], ids))
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    twice = got.pop(20)
+    assert [x for _, x in sorted(twice)][::2] == [x for _, x in sorted(twice)][1::2]
+    assert {i: sum((ids for _, ids in sorted(p)), []) for i, p in got.items()} == {i: t for i, t in want.items() if i != 20}
+    for p in places.values():
+        at = 0
+        for offset, length in sorted(p):
+            assert offset == at
+            at += length
+        assert at <= 256
+    best = binpack.pack_histogram(hist_of([r["length"] for r in rows]), 256)
+    assert len(places) == best.bins <= best.lower_bound + 1
+    assert pack(docs.limit(0)).count() == 0

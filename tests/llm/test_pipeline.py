@@ -1,0 +1,73 @@
+"""The pipeline against a plain version of each stage on the rows that came before it."""
+
+import random
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from lodestar.llm import mixing, pii
+from lodestar.session import staged
+from tests.llm.helpers import AWKWARD, frame, prose
+from tests.llm.test_mixing import plain_mix
+from tests.llm.test_neardup import edited, plain_classes
+
+GERMAN = ("sch", "ung", "ein", "keit", "en", "pf")
+
+
+def corpus(rng):
+    base = [prose(rng, rng.randint(20, 120)) for _ in range(60)]
+    texts = [*base, *base[:10], *(edited(rng, t, 0.004) for t in base[:20]), *(prose(rng, 80, GERMAN) for _ in range(25))]
+    texts += [f"{prose(rng, 30)} write to p{i}@mail.example.com" for i in range(10)]
+    noise = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(150)) for _ in range(5)]
+    langs = ["de" if "sch" in t and "the" not in t else "en" for t in texts]
+    return [*texts, *noise, *AWKWARD], [*langs, *[None] * (5 + len(AWKWARD))]
+
+
+def test_stages(spark, tmp_path):
+    rng = random.Random(1)
+    texts, langs = corpus(rng)
+    docs = frame(spark, texts, lang=langs, source=[rng.choice(["src0", "src0", "src1"]) for _ in texts])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = lambda df: {r["doc_id"]: r for r in df.collect()}
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert len(names) == 5 and "near-duplicates" in names
+    one, two, three, four, five = (f for _, f in corpus_pipeline.STAGES)
+    sf = str(tmp_path)
+
+    known = staged(one(spark, docs, sf))
+    after, before = rows(known), rows(docs)
+    assert known.columns == docs.columns and set(range(125)) <= set(after)  # clean documents stay
+    assert not set(range(125, 130)) & set(after) and all(any(c.isalpha() for c in r["text"]) for r in after.values())
+    assert all(after[i]["lang"] == before[i]["lang"] for i in range(125))
+
+    single = staged(two(spark, known, sf))
+    order = sorted(after)
+    classes = plain_classes([after[i]["text"] for i in order])
+    assert set(rows(single)) == {order[r] for r in classes.values()} and single.columns == docs.columns
+
+    clean = staged(three(spark, single, sf))
+    for i, r in rows(clean).items():
+        assert not pii.spans_of(r["text"])[0] and r["n_chars"] == len(r["text"])
+    assert any("<EMAIL>" in r["text"] for r in rows(clean).values()) and clean.count() == single.count()
+
+    mix = staged(four(spark, clean, sf))
+    want = plain_mix([tuple(r) for r in clean.select(*mixing.described(clean)).collect()], 100, 4, 17, mixing.WEIGHTS)
+    assert {r["doc_id"]: r["count"] for r in mix.groupBy("doc_id").count().collect()} == want and mix.columns == docs.columns
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    packed = five(spark, mix, sf).collect()
+    assert sum(r["length"] for r in packed) == sum(len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1 for r in mix.collect())
+    bins = {}
+    for r in packed:
+        assert len(np.frombuffer(r["ids"], "<u4")) == r["length"]
+        bins[r["sequence_id"]] = bins.get(r["sequence_id"], 0) + r["length"]
+    assert max(bins.values()) <= 2048
+    key = lambda rs: sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rs)
+    assert key(corpus_pipeline.run(spark, sf).collect()) == key(packed)
+
+
+def test_empty_table(spark, tmp_path):
+    frame(spark, ["x"]).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
