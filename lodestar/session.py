@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,20 @@ def staged(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(df: DataFrame, key: str, most: int, n: int | None = None) -> DataFrame:
+    """At most `most` rows, those with the smallest hash of `key`; n: the number of rows, if known.
+
+    A threshold on the hash first leaves about as many rows as are wanted, so that the cut to `most` sorts a set that
+    does not grow with the table.
+    """
+    n = df.count() if n is None else n
+    place = F.xxhash64(key)
+    if n > most:
+        share = min(1.0, (most + 4 * most**0.5) / n)
+        df = df.where(place.bitwiseAND((1 << 52) - 1) < int(share * (1 << 52)))
+    return df.orderBy(place.bitwiseAND((1 << 52) - 1), key).limit(most)
+
+
 def unstage(df: DataFrame) -> None:
     """Deletes what staged() wrote, once nothing reads it any more."""
     spark = df.sparkSession
