@@ -73,3 +73,12 @@ def test_replacer_order(spark):
     log = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (1, 4), (2, 5), (4, 6)], "page long, at long")
     got = [r["page"] for r in records.victims(log, "page", "at", 4).orderBy("place").collect()]
     assert got == [3, 4, 1, 2]
+
+
+def test_bounded_samples(spark):
+    from lodestar.session import bounded_sample
+
+    assert bounded_sample(spark.range(50), "id", 100).count() == 50
+    some = [r["id"] for r in bounded_sample(spark.range(20_000), "id", 500).collect()]
+    assert len(some) == 500 and some == [r["id"] for r in bounded_sample(spark.range(20_000).repartition(7), "id", 500).collect()]
+    assert 8_000 < sum(some) / 500 < 12_000 and bounded_sample(spark.range(0), "id", 5).count() == 0
