@@ -13,7 +13,8 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; `lang` becomes the language found. Others go."""
     found = langid.identify(docs, declared=F.lower("lang"), host=F.lower("source"))
     # written, so that Spark knows its size; mostly nothing changes, and that needs no shuffle of the texts
-    changed = staged(found.select(F.col("doc_id").alias("id"), "kept", F.col("lang").alias("found")).join(docs.select(F.col("doc_id").alias("id"), F.lower("lang").alias("said")), "id").where("not kept or not (found <=> said)").groupBy("id").agg(F.min("kept").alias("kept"), F.min("found").alias("found")))
+    changed = found.where("not kept or not (lang <=> declared)").groupBy(F.col("doc_id").alias("id"))
+    changed = staged(changed.agg(F.min("kept").alias("kept"), F.min("lang").alias("found")))
     joined = docs.join(changed, docs["doc_id"] == changed["id"], "left").where("kept is null or kept")
     return joined.select(*(F.coalesce("found", "lang").alias(c) if c == "lang" else c for c in docs.columns))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import bytegrams
-from lodestar.session import staged, table
+from lodestar.session import bounded_sample, staged, table
 
 BITS = 15
 LANG_ATTRIBUTE = r"""(?i)<html[^>]*?\slang\s*=\s*["']?([a-z]{2,3})"""
@@ -42,11 +42,11 @@ def suffix_of(host: Column) -> Column:
 
 def text_model(docs: DataFrame, sample: int, most_languages: int) -> tuple[list[str], np.ndarray]:
     """Languages by name and their log probabilities of byte 4-grams, fitted on at most `sample` rows with a language."""
-    names = [r["declared"] for r in docs.where("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(most_languages).collect()]
-    names.sort()
+    top = docs.where("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(most_languages).collect()
+    names = sorted(r["declared"] for r in top)
     if not names:
         return [], np.zeros((0, 1 << BITS))
-    rows = docs.where(F.col("declared").isin(names)).orderBy(F.xxhash64("text"), "row").select("row").limit(sample)
+    rows = bounded_sample(docs.where(F.col("declared").isin(names)).select("row"), "row", sample, sum(r["count"] for r in top)).distinct()
     some = docs.join(F.broadcast(rows), "row").select("text", "declared")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +107,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     Evidence: the text's byte 4-gram likelihood; the declared language and the address suffix, each as the chance of
     being seen beside a language; and the host's prior. Grouped aggregation counts, over all rows, which language the
     texts of a host, a suffix and a declared language show; a host's prior is smoothed by its suffix's, that by the
-    overall one. Returns id_col, lang (null if no language is likeliest), p (its posterior), kept. A row is kept if lang
-    is a language and p >= `least`.
+    overall one. Returns id_col, lang (null if no language is likeliest), p (its posterior), declared, kept. A row is kept
+    if lang is a language and p >= `least`.
 
     Null and empty texts, and those of ASCII digits and signs alone, are of no language and are not kept. A null host, suffix or
     declared language is no evidence. Repeated rows are judged row by row; an empty table gives no rows. The text model is
@@ -130,14 +130,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     top = counted().first()
     c = [float(top[f"c{k}"] or 0) for k in range(n)]
     overall = [F.lit((x + 1.0) / (sum(c) + n)) for x in c]
-    suffixes = shares(counted("suffix").where("suffix is not null"), "suffix", n, overall, strength)
+    # the tables of shares are written, so that Spark knows their size and broadcasts them only if they are small
+    suffixes = staged(shares(counted("suffix").where("suffix is not null"), "suffix", n, overall, strength))
     parent = F.when(F.col("p_suffix").isNotNull(), F.transform("p_suffix", F.exp)).otherwise(F.array(*overall))
-    hosts = shares(counted("host", "suffix").where("host is not null").groupBy("host").agg(F.max("suffix").alias("suffix"), *(F.sum(f"c{k}").alias(f"c{k}") for k in range(n))).join(suffixes, "suffix", "left"), "host", n, parent, strength)
+    hosts = staged(shares(counted("host", "suffix").where("host is not null").groupBy("host").agg(F.max("suffix").alias("suffix"), *(F.sum(f"c{k}").alias(f"c{k}") for k in range(n))).join(suffixes, "suffix", "left"), "host", n, parent, strength))
 
     def beside(key: str) -> DataFrame:
         """Log of the chance of a value of `key` given each language, up to a constant: its posterior share over the overall one."""
         p = shares(counted(key).where(F.col(key).isNotNull()), key, n, overall, strength)
-        return p.select(key, F.array(*(F.col(f"p_{key}")[k] - F.log(overall[k]) for k in range(n))).alias(f"p_{key}"))
+        return staged(p.select(key, F.array(*(F.col(f"p_{key}")[k] - F.log(overall[k]) for k in range(n))).alias(f"p_{key}")))
 
     prior = F.coalesce("p_host", F.col("p_parent"), F.array(*(F.log(x) for x in overall)))
     zero = F.array(*[F.lit(0.0)] * n)
@@ -150,10 +151,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
         .withColumn("at", F.array_position("logs", F.col("peak")).cast("int"))
     )
     lang = F.element_at(F.array(*(F.lit(x) for x in names), F.lit(None).cast("string")), F.col("at"))
-    return fused.select(F.col("row").alias(id_col), lang.alias("lang"), "p", (lang.isNotNull() & (F.col("p") >= least)).alias("kept"))
+    return fused.select(F.col("row").alias(id_col), lang.alias("lang"), "p", "declared", (lang.isNotNull() & (F.col("p") >= least)).alias("kept"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, p, kept for all documents: `lang` is the declared language and `source` the host."""
+    """doc_id, lang, p, declared, kept for all documents: `lang` is the declared language and `source` the host."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs, declared=F.lower("lang"), host=F.lower("source"))
