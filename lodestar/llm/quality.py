@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import bytegrams
-from lodestar.session import table
+from lodestar.session import bounded_sample, table
 
 BITS = 14
 SYMBOLS = "#*$%&|<>"
@@ -62,7 +62,7 @@ def base_rules(text: str, numbers: WordNumbers) -> tuple[int, int, int, int, int
 def labelled_ids(labels: DataFrame, quality: int, most: int) -> DataFrame:
     """Up to `most` documents with this label, in the order of a hash: the bounded sample that the model is fitted on."""
     ids = labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long")).distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return bounded_sample(ids, "doc_id", most)
 
 
 def plain(docs: DataFrame) -> DataFrame:
