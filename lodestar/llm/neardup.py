@@ -190,15 +190,20 @@ def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
 
 
 def second_sketches(texts: DataFrame) -> DataFrame:
-    """node, bins of texts (node, text)."""
+    """node, bins and marks (its sketches, 64 bits each) of texts (node, text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
         for batch in batches:
-            made = [bins(labelled(shingles(words_of(t or ""), memo))) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(made, pa.binary())], names=["node", "bins"])
+            made, marks = [], []
+            for text in batch.column(1).to_pylist():
+                s = shingles(words_of(text or ""), memo)
+                lab = labelled(s)
+                made.append(bins(lab))
+                marks.append(sketches(s, lab).tobytes())
+            yield pa.record_batch([batch.column(0), pa.array(made, pa.binary()), pa.array(marks, pa.binary())], names=["node", "bins", "marks"])
 
-    return texts.select("node", "text").mapInArrow(each, "node binary, bins binary")
+    return texts.select("node", "text").mapInArrow(each, "node binary, bins binary, marks binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -242,26 +247,33 @@ def tiled(members: DataFrame, small: DataFrame, least: float, guess: float, tile
     """Candidate pairs (a, b) across the components of a bucket, from all its members (key, node, n, root).
 
     A bucket is cut into parts of about `tile` members by a hash, and every two parts meet in a tile. A member is in
-    as many tiles as its bucket has parts; pairs stay in the tile unless the second sketch finds them alike.
+    as many tiles as its bucket has parts; pairs stay in the tile unless the second sketch finds them alike. Of the
+    buckets that a pair shares, the one of the smallest key passes it on. If one of the two is the pivot there, they
+    were compared already.
     """
     parts = members.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     rows = members.join(small, "node").join(parts, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "root", "bins")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "root", "bins", "marks")
 
     def meet(t: pa.Table) -> pa.Table:
         x = np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
+        marks = np.frombuffer(b"".join(t["marks"].to_pylist()), np.int64).reshape(-1, TABLES)
+        key, none = t["key"][0].as_py(), np.iinfo(np.int64).max
         own, n = t["own"].to_numpy(), t["n"].to_numpy().astype(float)
         node, root = t["node"].to_pylist(), pd.factorize(np.array(t["root"].to_pylist(), object))[0]
         first = np.flatnonzero(own == t["i"][0].as_py())
         second = np.flatnonzero(own == t["j"][0].as_py())
         out: list[tuple[bytes, bytes]] = []
-        for k in range(0, len(first), 64):
-            rows_ = first[k : k + 64]
+        for at in range(0, len(first), 64):
+            rows_ = first[at : at + 64]
             good = (root[rows_][:, None] != root[second]) & (np.minimum(n[rows_][:, None], n[second]) >= least * np.maximum(n[rows_][:, None], n[second]))
             if good.any():
                 good &= alike(x[rows_], x[second], guess)
-            out += [(max(node[rows_[p]], node[second[q]]), min(node[rows_[p]], node[second[q]])) for p, q in zip(*np.nonzero(good), strict=True)]
+            p, q = np.nonzero(good)
+            p, q = rows_[p], second[q]
+            least_key = np.where(marks[p] == marks[q], marks[p], none).min(axis=1, initial=none)
+            out += [(max(node[a], node[b]), min(node[a], node[b])) for a, b in zip(p[least_key == key].tolist(), q[least_key == key].tolist(), strict=True)]
         return pa.table({"a": pa.array([p[0] for p in out], pa.binary()), "b": pa.array([p[1] for p in out], pa.binary())})
 
     return rows.groupBy("key", "i", "j").applyInArrow(meet, "a binary, b binary").distinct()
