@@ -42,7 +42,7 @@ def words_of(text: str) -> list[str]:
 
 
 def word_memo() -> Memo:
-    return Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), 400_000)
+    return Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), 100_000)
 
 
 def shingles(words: list[str], memo: Memo) -> np.ndarray:

@@ -30,7 +30,7 @@ class WordIds:
 
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, words: int = 400_000, units: int = 400_000):
+    def __init__(self, path: str, words: int = 150_000, units: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
