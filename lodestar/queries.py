@@ -181,11 +181,10 @@ def graph_entry_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_edges(spark: SparkSession, sf_dir: str, top_k: int = 8) -> DataFrame:
-    """layer 0 edges to each vector's near others, from cells that grow in number with the table."""
+    """layer 0 edges to each vector's nearest others, exactly."""
     v = vectors(spark, sf_dir)
-    cells = min(4_096, -(-v.count() // 20_000))
-    placed = graph.celled(v, cells, 3, 50_000).withColumn("layer", F.lit(0))
-    return graph.near_in_cells(placed, top_k, DIM, "l2")
+    near = search.nearest_join(v, v, top_k, DIM, excluding_self=True)
+    return staged(near.select(F.lit(0).alias("layer"), F.col("qid").alias("src"), F.col("id").alias("dst"), F.col("score").alias("distance")))
 
 
 def knn_graph_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +199,7 @@ def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def neighbour_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes two steps from each query that are not reached in one, and not itself."""
-    e = staged(near_edges(spark, sf_dir).select("src", "dst"))
+    e = near_edges(spark, sf_dir).select("src", "dst")
     start = asked(spark, sf_dir).select(F.col("id").alias("qid"))
     one = start.join(e, F.col("qid") == F.col("src")).select("qid", F.col("dst").alias("id"))
     two = one.join(e, F.col("id") == F.col("src")).select("qid", F.col("dst").alias("id")).distinct()

@@ -48,6 +48,29 @@ def test_cells_find_most_neighbours(spark):
     assert hits >= 0.9 * 1500 and len(got) <= 15_000
 
 
+def test_many_cells_keep_neighbours_of_evenly_spread_vectors(spark):
+    """50 cells of 40 isotropic vectors: 3 probes lose many true neighbours."""
+    x = np.random.default_rng(5).normal(size=(2000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = frame(spark, x)
+    near = graph.near_of_layers(df, graph.nodes_of(df), 16, 64, "l2", 40, 3, 1000)
+    got = {(r["src"], r["dst"]) for r in near.where("layer = 0").collect()}
+    want = [(i, j) for i in range(0, 2000, 20) for j, _ in brute(x.astype(float), x[i].astype(float), 8, "l2", i)]
+    assert sum(p in got for p in want) >= 0.9 * len(want)
+    assert near.where("layer > 0").count() > 0 and near.groupBy("layer", "src", "dst").count().where("count > 1").isEmpty()
+
+
+def test_registered_neighbours_do_not_depend_on_cells(spark, tmp_path, monkeypatch):
+    """Were vectors put into cells by chance, the registered queries would still give the exact neighbours."""
+    from lodestar import queries
+
+    monkeypatch.setattr(graph, "celled", lambda records, *_: records.select((F.col("id") % 7).cast("int").alias("cell"), "id", "embedding"))
+    x = np.random.default_rng(6).normal(size=(300, 64)).astype(np.float32)
+    spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["src"]: r["dst"] for r in queries.greedy_step(spark, str(tmp_path)).collect()}
+    assert got == {i: brute(x.astype(float), x[i].astype(float), 1, "l2", i)[0][0] for i in range(300)}
+
+
 def test_diverse_neighbours_by_hand():
     base = np.zeros(1)
     v = np.array([[1.0], [1.5], [-2.0], [2.2]])
