@@ -266,6 +266,13 @@ def split_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(parts).cast("long").alias("n_args"), parts[0].alias("command"), parts[1].alias("index_name"), F.element_at(parts, -1).alias("last_arg"))
 
 
+def split_inline_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the whole text of every turn; split_inline and its SQL take the first 60 characters."""
+    line = F.concat(F.lit("  VPUT\t"), "role", F.lit(" \t "), F.col("turn").cast("string"), F.lit("  "), "text")
+    parts = codecs.split_inline(F.regexp_replace(line, "[\r\n]", " "))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(parts).cast("long").alias("n_args"), parts[0].alias("command"), parts[1].alias("index_name"), F.element_at(parts, -1).alias("last_arg"))
+
+
 def float_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six significant digits of each vector's first element, plain and scaled."""
     x = F.col("embedding")[0]
@@ -301,8 +308,8 @@ QUERIES = {
         knn_excluding_self, knn_payload_join, distances, full_scan, get_by_id, multi_get, list_indexes, has_index, prefix_scan, key_encoding,
         dimension_check, upsert, upsert_changes, delete_anti_join, changelog_replay, changelog_stream, lru_k_distance, lru_k_victims,
         log_last_image, index_stats, stats_by_index, level_sampling, graph_entry_point, knn_graph_undirected, graph_degrees, neighbour_expansion,
-        greedy_step, diverse_neighbours, graph_build, graph_search, csv_vector_parse, number_parse, metric_parse, split_inline, float_format,
-        payload_crc32c, command_session, engine_round_trip,
+        greedy_step, diverse_neighbours, graph_build, graph_search, csv_vector_parse, number_parse, metric_parse, split_inline, split_inline_whole,
+        float_format, payload_crc32c, command_session, engine_round_trip,
     )},
 }
 
@@ -376,6 +383,8 @@ f IN (0, 1, 2, 5, 6, 7, 8, 9) AS is_float FROM t""",
     "metric_parse": """WITH t AS (SELECT event_id, ['l2', 'L2', 'ip', 'Inner_Product', 'INNERPRODUCT', 'cosine', 'cos', '', 'L2 '][event_id % 9 + 1] AS name FROM events)
 SELECT event_id, name, CASE upper(name) WHEN 'L2' THEN 'l2' WHEN 'IP' THEN 'ip' WHEN 'INNER_PRODUCT' THEN 'ip' WHEN 'INNERPRODUCT' THEN 'ip' WHEN 'COSINE' THEN 'cosine' END AS metric, upper(name) AS upper_name FROM t""",
     "split_inline": r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(regexp_replace(concat('  VPUT', chr(9), role, ' ', chr(9), ' ', turn, '  ', substring(text, 1, 60)), '[\r\n]', ' ', 'g'), '[^ \t]+') AS parts FROM conversations)
+SELECT conv_id, turn, len(parts)::BIGINT AS n_args, parts[1] AS command, parts[2] AS index_name, parts[-1] AS last_arg FROM t""",
+    "split_inline_whole": r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(regexp_replace(concat('  VPUT', chr(9), role, ' ', chr(9), ' ', turn, '  ', text), '[\r\n]', ' ', 'g'), '[^ \t]+') AS parts FROM conversations)
 SELECT conv_id, turn, len(parts)::BIGINT AS n_args, parts[1] AS command, parts[2] AS index_name, parts[-1] AS last_arg FROM t""",
     "engine_round_trip": f"""WITH m AS ({MOVED}), u AS (SELECT vec_id, embedding, concat('label ', label) AS payload, label FROM embeddings WHERE vec_id NOT IN (SELECT id FROM m) UNION ALL SELECT id, embedding, payload, -1 FROM m),
 a AS (SELECT * FROM u WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 3))

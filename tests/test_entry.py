@@ -1,4 +1,5 @@
 import os
+import re
 import subprocess
 import sys
 
@@ -30,6 +31,26 @@ def test_queries_match_their_sql(spark, name):
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select(*cols).collect())
 
 
+def against_sql(spark, name):
+    db = duckdb.connect()
+    for f in os.listdir(SF):
+        db.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    got = own.QUERIES[name](spark, SF)
+    cols = sorted(got.columns)
+    want = db.sql(f"SELECT {', '.join(cols)} FROM ({own.ORACLES[name]})").fetchall()
+    rows = [r.asDict() for r in got.collect()]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r[c] for c in cols)) for r in rows)
+    return rows
+
+
+@needs_data
+def test_split_inline_of_whole_turns(spark):
+    rows = against_sql(spark, "split_inline_whole")
+    texts = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    plain = {k: ["VPUT", "?", "?", *re.findall("[^ \t\r\n]+", t)] for k, t in texts.items()}
+    assert len(rows) == len(texts) and all(r["n_args"] == len(plain[r["conv_id"], r["turn"]]) for r in rows)
+
+
 def test_every_sql_has_its_query():
     assert not set(entry.oracle_sql()) - set(entry.queries())
 
