@@ -232,16 +232,25 @@ def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.search(asked(spark, sf_dir).select(F.col("id").alias("qid"), "embedding"), nodes, edges, v, "l2", 10, 50))
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as text, some of them spoilt in one way or another."""
-    parts = F.array_join(F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x.cast("double"), 4).cast("decimal(10,4)").cast("string")), ", ")
+def texts(spark: SparkSession, sf_dir: str, elements: int) -> DataFrame:
+    """The first elements of vectors as text, some of them spoilt in one way or another."""
+    parts = F.array_join(F.transform(F.slice("embedding", 1, elements), lambda x: F.round(x.cast("double"), 4).cast("decimal(10,4)").cast("string")), ", ")
     spoilt = F.when(F.col("vec_id") % 5 == 0, F.concat(parts, F.lit(","))).when(F.col("vec_id") % 5 == 1, F.concat(F.lit("x"), parts)).when(F.col("vec_id") % 25 == 2, F.lit("")).otherwise(F.concat(F.lit(" "), parts, F.lit(" ")))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), spoilt.alias("csv"))
 
 
-def csv_vector_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parsed(rows: DataFrame) -> DataFrame:
     v = codecs.parse_vector_csv(F.col("csv"))
-    return texts(spark, sf_dir).select("id", v.isNotNull().alias("valid"), F.size(v).cast("long").alias("dimension"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 4).alias("total")).withColumn("dimension", F.when(F.col("valid"), F.col("dimension")).otherwise(-1))
+    return rows.select("id", v.isNotNull().alias("valid"), F.size(v).cast("long").alias("dimension"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 4).alias("total")).withColumn("dimension", F.when(F.col("valid"), F.col("dimension")).otherwise(-1))
+
+
+def csv_vector_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed(texts(spark, sf_dir, 3))
+
+
+def csv_vector_parse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all elements; csv_vector_parse and its SQL take the first three."""
+    return parsed(texts(spark, sf_dir, DIM))
 
 
 def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,13 +283,14 @@ def split_inline_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def float_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six significant digits of each vector's first element, plain and scaled."""
-    x = F.col("embedding")[0]
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), codecs.format_float(x).alias("plain"), codecs.format_float((x * 1e9).cast("float")).alias("large"))
+    """Six significant digits of every element of each vector, plain and scaled; place counts from 0."""
+    x = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("place", "x"))
+    return x.select("id", "place", codecs.format_float(F.col("x")).alias("plain"), codecs.format_float((F.col("x") * 1e9).cast("float")).alias("large"))
 
 
 def payload_crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", codecs.crc32c_of(F.col("text").cast("binary")).alias("crc"))
+    """Checksum of the payloads that knn_payload_join attaches: the whole texts of documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", codecs.crc32c_of(F.col("text").cast("binary")).alias("crc"))
 
 
 def command_session(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,7 +318,7 @@ QUERIES = {
         knn_excluding_self, knn_payload_join, distances, full_scan, get_by_id, multi_get, list_indexes, has_index, prefix_scan, key_encoding,
         dimension_check, upsert, upsert_changes, delete_anti_join, changelog_replay, changelog_stream, lru_k_distance, lru_k_victims,
         log_last_image, index_stats, stats_by_index, level_sampling, graph_entry_point, knn_graph_undirected, graph_degrees, neighbour_expansion,
-        greedy_step, diverse_neighbours, graph_build, graph_search, csv_vector_parse, number_parse, metric_parse, split_inline, split_inline_whole,
+        greedy_step, diverse_neighbours, graph_build, graph_search, csv_vector_parse, csv_vector_parse_whole, number_parse, metric_parse, split_inline, split_inline_whole,
         float_format, payload_crc32c, command_session, engine_round_trip,
     )},
 }
@@ -377,6 +387,8 @@ SELECT DISTINCT one.qid, near.dst AS id FROM one JOIN near ON near.src = one.id
     "greedy_step": f"WITH {NEAR} SELECT src, arg_min(dst, (distance, dst)) AS dst, round(min(distance), 6) AS score FROM near GROUP BY src",
     "csv_vector_parse": f"""WITH t AS (SELECT vec_id AS id, vec_id % 5 >= 2 AS valid, vec_id % 25 = 2 AS blank, [round(x::DOUBLE, 4)::DECIMAL(10,4)::VARCHAR::FLOAT::DOUBLE FOR x IN embedding[1:3]] AS v FROM embeddings)
 SELECT id, valid, CASE WHEN valid THEN CASE WHEN blank THEN 0 ELSE 3 END ELSE -1 END::BIGINT AS dimension, CASE WHEN valid THEN CASE WHEN blank THEN 0.0 ELSE round(v[1] + v[2] + v[3], 4) END END::DOUBLE AS total FROM t""",
+    "csv_vector_parse_whole": """WITH t AS (SELECT vec_id AS id, vec_id % 5 >= 2 AS valid, vec_id % 25 = 2 AS blank, [round(x::DOUBLE, 4)::DECIMAL(10,4)::VARCHAR::FLOAT::DOUBLE FOR x IN embedding] AS v FROM embeddings)
+SELECT id, valid, CASE WHEN valid THEN CASE WHEN blank THEN 0 ELSE len(v) END ELSE -1 END::BIGINT AS dimension, CASE WHEN valid THEN CASE WHEN blank THEN 0.0 ELSE round(list_reduce(list_prepend(0.0::DOUBLE, v), lambda s, x: s + x), 4) END END::DOUBLE AS total FROM t""",
     "number_parse": f"""WITH t AS (SELECT event_id, event_id % 13 AS f, replace({FORMS}[event_id % 13 + 1], '{{}}', (event_id % 10)::VARCHAR) AS text FROM events)
 SELECT event_id, text, CASE WHEN regexp_full_match(text, '[0-9]+') AND try_cast(text AS HUGEINT) <= 18446744073709551615::HUGEINT THEN try_cast(text AS HUGEINT)::VARCHAR END AS number,
 f IN (0, 1, 2, 5, 6, 7, 8, 9) AS is_float FROM t""",

@@ -51,6 +51,20 @@ def test_split_inline_of_whole_turns(spark):
     assert len(rows) == len(texts) and all(r["n_args"] == len(plain[r["conv_id"], r["turn"]]) for r in rows)
 
 
+@needs_data
+def test_whole_vectors_and_payloads(spark):
+    from lodestar.functions import codecs
+
+    rows = against_sql(spark, "csv_vector_parse_whole")
+    assert {r["dimension"] for r in rows} == {-1, 0, 64}
+    vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    got = {(r["id"], r["place"]): r["plain"] for r in own.QUERIES["float_format"](spark, SF).collect()}
+    assert got == {(i, k): codecs.float_text(x) for i, v in vectors.items() for k, x in enumerate(v)}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    crcs = dict(own.QUERIES["payload_crc32c"](spark, SF).collect())
+    assert crcs == {i: codecs.crc32c(t.encode()) for i, t in texts.items()}
+
+
 def test_every_sql_has_its_query():
     assert not set(entry.oracle_sql()) - set(entry.queries())
 
