@@ -40,30 +40,40 @@ def suffix_of(host: Column) -> Column:
     return F.when(host.isNotNull(), F.regexp_extract(host, r"\.([^.:]*)(?::[0-9]*)?$", 1))
 
 
-def text_model(docs: DataFrame, sample: int, most_languages: int) -> tuple[list[str], np.ndarray]:
-    """Languages by name and their log probabilities of byte 4-grams, fitted on at most `sample` rows with a language."""
-    top = docs.where("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(most_languages).collect()
-    names = sorted(r["declared"] for r in top)
-    if not names:
-        return [], np.zeros((0, 1 << BITS))
-    rows = bounded_sample(docs.where(F.col("declared").isin(names)).select("row"), "row", sample, sum(r["count"] for r in top)).distinct()
-    some = docs.join(F.broadcast(rows), "row").select("text", "declared")
+def text_model(docs: DataFrame, sample: int) -> tuple[list[str], np.ndarray]:
+    """Languages by name and their log probabilities of byte 4-grams.
+
+    Fitted on about `sample` rows of each declared language, those of a small hash, or on all if it has no more. A
+    language whose rows show no grams has no model and is not among the names. The model takes 256 KB a language.
+    """
+    sizes = docs.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n"))
+    # a few standard deviations more, so that chance does not leave much fewer than `sample`
+    bar = sizes.select("declared", F.least(F.lit(1.0), F.lit(sample + 4 * sample**0.5) / F.col("n")).alias("share"))
+    place = F.xxhash64("row", "text").bitwiseAND((1 << 52) - 1)
+    # as many rows are broadcast as there are languages
+    some = docs.join(F.broadcast(bar), "declared").where(place <= F.col("share") * float(1 << 52)).select("text", "declared")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), 1 << BITS), np.int64)
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k, name in enumerate(names):
-                if own := [letters(t) for t, x in zip(texts, langs, strict=True) if x == name]:
-                    for part in bytegrams.blocks(own):
-                        total[k] += bytegrams.counts(own[part], BITS)
-        k, at = np.nonzero(total)
-        yield pa.record_batch([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[k, at])], names=["k", "bucket", "n"])
-
-    total = np.zeros((len(names), 1 << BITS), np.int64)
-    for r in some.mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).collect():
-        total[r["k"], r["bucket"]] = r["n"]
-    return names, np.stack([bytegrams.log_probabilities(row, 0.2, even=0.2) for row in total])
+            own: dict[str, list[bytes]] = {}
+            for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own.setdefault(x, []).append(letters(t))
+            for name, texts in own.items():
+                for part in bytegrams.blocks(texts):
+                    n = bytegrams.counts(texts[part], BITS)
+                    total[name] = total[name] + n if name in total else n
+        for name, n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], names=["name", "bucket", "n"])
+
+    counts: dict[str, np.ndarray] = {}
+    for r in some.mapInArrow(count, "name string, bucket int, n long").groupBy("name", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts.setdefault(r["name"], np.zeros(1 << BITS, np.int64))[r["bucket"]] = r["n"]
+    names = sorted(counts)
+    if not names:
+        return [], np.zeros((0, 1 << BITS))
+    return names, np.stack([bytegrams.log_probabilities(counts[x], 0.2, even=0.2) for x in names])
 
 
 def text_evidence(docs: DataFrame, names: list[str], model: np.ndarray, temper: float) -> DataFrame:
@@ -101,7 +111,7 @@ def shares(counts: DataFrame, key: str, n: int, parent: list[Column] | Column, s
     return counts.select(key, logs.alias(f"p_{key}"))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, sample: int = 8_000, most_languages: int = 64, temper: float = 6.0, strength: float = 20.0, least: float = 0.5) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, sample: int = 8_000, temper: float = 6.0, strength: float = 20.0, least: float = 0.5) -> DataFrame:
     """The posterior language of every row.
 
     Evidence: the text's byte 4-gram likelihood; the declared language and the address suffix, each as the chance of
@@ -112,7 +122,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
     Null and empty texts, and those of ASCII digits and signs alone, are of no language and are not kept. A null host, suffix or
     declared language is no evidence. Repeated rows are judged row by row; an empty table gives no rows. The text model is
-    fitted on at most `sample` rows that declare a language; all other counts cover all rows.
+    fitted on about `sample` rows of each declared language; all other counts cover all rows. No declared language is left
+    out unless its texts show no grams.
     """
     host = F.lit(None).cast("string") if host is None else host
     rows = docs.select(
@@ -120,7 +131,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
         (F.lit(None).cast("string") if declared is None else declared).cast("string").alias("declared"),
         host.cast("string").alias("host"), (suffix_of(host) if suffix is None else suffix).cast("string").alias("suffix"),
     )
-    names, model = text_model(rows, sample, most_languages)
+    names, model = text_model(rows, sample)
     n = len(names) + 1
     scored = staged(text_evidence(rows, names, model, temper))
 

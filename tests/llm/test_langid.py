@@ -44,6 +44,20 @@ def test_priors_decide_short_texts(spark):
     assert got == {1000: "de", 1001: "en", 1002: "de", 1003: "en", 1004: "de", 1005: "en"}
 
 
+def test_no_declared_language_is_left_out(spark):
+    """70 languages, the rarest with 2 texts among 600, and one whose texts have no letters; a sample of 8 rows each."""
+    rng = random.Random(7)
+    alphabets = {f"l{k:02}": [chr(0x100 + 40 * k + j) * 2 for j in range(12)] for k in range(70)}
+    langs = [x for k, x in enumerate(alphabets) for _ in range(2 if k == 69 else 8)]
+    texts = [prose(rng, 60, alphabets[x]) for x in langs]
+    rows = [(i, t, x) for i, (t, x) in enumerate(zip(texts, langs))] + [(900, "12 34", "empty"), (901, "56", "empty")]
+    rows += [(1000 + k, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(200)), None) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang"], r["kept"]) for r in langid.identify(docs, declared=F.col("lang"), sample=8).collect()}
+    assert [got[i] for i in range(len(langs))] == [(x, True) for x in langs]
+    assert not any(got[i][1] for i in (900, 901)) and not any(got[1000 + k][0] == "empty" for k in range(5))
+
+
 def test_page_evidence(spark):
     rows = [('<!DOCTYPE html><HTML data-x="1" lang="FR"><p>', "https://A.Example.com:80/x?q"), ("<html lang=de-AT>", "http://b.net"), ("<p lang='en'>", "x"), (None, None)]
     df = spark.createDataFrame(rows, "html string, url string")
