@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lodestar.session import table
 
 BLOCK = 1 << 20
+PARTS = 64  # of the range of anchors
+BATCH_BYTES = 1 << 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,26 +58,54 @@ def hash_text(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
 
 
-def fingerprint(text: str, k: int, s: int, size: int) -> list[tuple[int, int]]:
-    """(anchor, place) of the `size` smallest different anchors, 32 bits each, in text order; places are of their first occurrence.
+def anchored(text: str, k: int, s: int, keep: int = PARTS) -> np.ndarray:
+    """Rows (anchor, place) of the text's different anchors, 32 bits each, in text order; places are of their first occurrence.
 
-    Long texts go block by block; blocks overlap so that no k-mer is lost.
+    The anchors in the lowest `keep` of the 64 parts of their range count, so that the number grows with the text;
+    64 is all of them. Long texts go block by block; blocks overlap so that no k-mer is lost.
     """
-    anchors, places = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    parts = []
     for start in range(0, max(1, len(text) - k + 1), BLOCK):
         at, hashed = syncmers(text[start : start + BLOCK + k - 1], k, s)
-        anchors, first = np.unique(np.concatenate([anchors, (hashed >> np.uint64(32)).astype(np.int64)]), return_index=True)
-        anchors, places = anchors[:size], np.concatenate([places, at + start])[first[:size]]
-    order = np.argsort(places)
-    return list(zip(anchors[order].tolist(), places[order].tolist(), strict=True))
+        rows = np.stack([(hashed >> np.uint64(32)).astype(np.int64), at + start], axis=1)
+        parts.append(lowest(rows, keep))
+    rows = np.concatenate(parts)
+    return rows[np.sort(np.unique(rows[:, 0], return_index=True)[1])]
 
 
-def spelled(print_: list[tuple[int, int]]) -> str:
-    return ",".join(f"{a:08x}:{p}" for a, p in print_)
+def lowest(rows: np.ndarray, keep: int) -> np.ndarray:
+    return rows if keep >= PARTS else rows[rows[:, 0] < keep * ((1 << 32) // PARTS)]
+
+
+def fingerprint(text: str, k: int, s: int, keep: int = PARTS) -> list[tuple[int, int]]:
+    """The rows of anchored() as a list."""
+    return [(a, p) for a, p in anchored(text, k, s, keep).tolist()]
+
+
+def rows_of(print_: np.ndarray | list[tuple[int, int]]) -> np.ndarray:
+    return np.asarray(print_, np.int64).reshape(-1, 2)
+
+
+def spelled(print_: np.ndarray | list[tuple[int, int]]) -> str:
+    """anchor:place, in hexadecimal and decimal digits, parted by commas."""
+    rows, out = rows_of(print_), []
+    for off in range(0, len(rows), 1 << 16):
+        a, p = rows[off : off + (1 << 16)].T
+        tens = 10 ** np.arange(len(str(int(p.max()))) - 1, -1, -1)
+        digits = np.full((len(a), 8 + 1 + len(tens) + 1), ord(","), np.uint8)
+        digits[:, :8] = np.frombuffer(b"0123456789abcdef", np.uint8)[a[:, None] >> np.arange(28, -4, -4) & 15]
+        digits[:, 8] = ord(":")
+        digits[:, 9:-1] = p[:, None] // tens % 10 + ord("0")
+        shown = np.ones(digits.shape, bool)
+        shown[:, 9:-2] = p[:, None] >= tens[:-1]
+        out.append(digits[shown].tobytes())
+    return b"".join(out)[:-1].decode()
 
 
 def in_step(a: np.ndarray) -> int:
     """Length of the longest increasing run of places, not necessarily adjacent."""
+    if (a[1:] > a[:-1]).all():
+        return len(a)
     tails: list[int] = []
     for x in a.tolist():
         at = bisect_left(tails, x)
@@ -83,26 +113,32 @@ def in_step(a: np.ndarray) -> int:
     return len(tails)
 
 
-def likeness(one: list[tuple[int, int]], two: list[tuple[int, int]], size: int) -> float:
-    """0 to 1: the part of the smallest anchors of both that both have in the same order.
+def likeness(one: np.ndarray | list[tuple[int, int]], two: np.ndarray | list[tuple[int, int]], keep: int = PARTS) -> float:
+    """0 to 1: the part of the anchors of both, in the lowest `keep` of the 64 parts of their range, that both have in the same order.
 
-    The `size` smallest anchors of the union are a fair sample of all of them; shared ones count only as far as their
-    places agree in order. Two empty fingerprints are alike.
+    Shared anchors count only as far as their places agree in order. Two empty fingerprints are alike.
     """
-    a, b = dict(one), dict(two)
-    union = sorted(a.keys() | b.keys())[:size]
+    a, b = lowest(rows_of(one), keep), lowest(rows_of(two), keep)
+    _, at_a, at_b = np.intersect1d(a[:, 0], b[:, 0], assume_unique=True, return_indices=True)
+    union = len(a) + len(b) - len(at_a)
     if not union:
         return 1.0
-    both = sorted((a[x], b[x]) for x in union if x in a and x in b)
-    return in_step(np.array([p for _, p in both], np.int64)) / len(union)
+    return in_step(b[at_b[np.argsort(a[at_a, 1])], 1]) / union
 
 
-def fingerprints(docs: DataFrame, k: int = 16, s: int = 10, size: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and fingerprint of every whole text: its anchors with their places. Null texts count as empty."""
+def fingerprints(docs: DataFrame, k: int = 16, s: int = 10, keep: int = PARTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col and fingerprint of every whole text: all its anchors with their places. Null texts count as empty."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([spelled(fingerprint(t or "", k, s, size)) for t in batch.column(1).to_pylist()], pa.string())], names=["id", "fingerprint"])
+            ids, out, size = [], [], 0
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                ids.append(i)
+                out.append(spelled(anchored(t or "", k, s, keep)))
+                size += len(out[-1])
+                if size >= BATCH_BYTES or i == batch.num_rows - 1:
+                    yield pa.record_batch([batch.column(0).take(pa.array(ids)), pa.array(out, pa.string())], names=["id", "fingerprint"])
+                    ids, out, size = [], [], 0
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(each, "id long, fingerprint string").withColumnRenamed("id", id_col)
@@ -143,29 +179,39 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-def compare_with_next(docs: DataFrame, k: int = 16, s: int = 10, size: int = 64) -> DataFrame:
+def compare_with_next(docs: DataFrame, k: int = 16, s: int = 10, keep: int = PARTS) -> DataFrame:
     """Each document's fingerprint beside that of its edited text and of the next document by descending doc_id.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The document
     after the last is the first, so a lone one follows itself. A null text counts as empty; a row that repeats
-    another is a document of its own; an empty table gives no rows.
+    another is a document of its own; an empty table gives no rows. Fingerprints are longer than their texts, so rows
+    go out in batches of about BATCH_BYTES.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # span, doc_id, text, fingerprint of the row before
+        out: list[tuple] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], names=names)
+
         for batch in batches:
-            out: list[tuple] = []
             for span, ghost, doc, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
                 if last and last[0] == span:
-                    own = fingerprint(text, k, s, size)
+                    own = anchored(text, k, s, keep)
                     changed = edited(last[2], text)
-                    other = fingerprint(changed, k, s, size)
-                    out.append((last[1], len(last[2]), hashlib.sha256(changed.encode()).hexdigest(), spelled(last[3]), spelled(other), likeness(last[3], other, size), likeness(last[3], own, size)))
+                    other = anchored(changed, k, s, keep)
+                    out.append((last[1], len(last[2]), hashlib.sha256(changed.encode()).hexdigest(), spelled(last[3]), spelled(other), likeness(last[3], other, keep), likeness(last[3], own, keep)))
                     last = None if ghost else (span, doc, text, own)
+                    size += len(out[-1][3]) + len(out[-1][4])
+                    if size >= BATCH_BYTES:
+                        yield made()
+                        out, size = [], 0
                 elif not ghost:
-                    last = (span, doc, text, fingerprint(text, k, s, size))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], names=names)
+                    last = (span, doc, text, anchored(text, k, s, keep))
+        yield made()
 
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     return followed(docs).mapInArrow(each, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

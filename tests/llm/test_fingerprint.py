@@ -37,6 +37,23 @@ def test_likeness():
     assert fp.likeness(f(a), f(a[half:] + a[:half]), 64) < 0.75  # the same anchors, but not in step
 
 
+def test_a_passage_keeps_its_anchors_in_a_long_text(spark):
+    """A passage of 60 words in 20,000: nearly all of its anchors are in the fingerprint, in the same order."""
+    rng = random.Random(6)
+    passage = prose(rng, 60)
+    text = prose(rng, 10_000) + " " + passage + " " + prose(rng, 10_000)
+    whole, part = dict(fp.fingerprint(text, 16, 10)), fp.fingerprint(passage, 16, 10)
+    assert len(part) > 60 and all(a in whole for a, _ in part)
+    at, hashed = fp.syncmers(text, 16, 10)
+    assert whole.keys() == set((hashed >> np.uint64(32)).tolist()) and all(text[whole[a] :].startswith(passage[p : p + 16]) for a, p in part)
+    assert 0 < fp.likeness(fp.fingerprint(text, 16, 10), part) == fp.likeness(part, fp.fingerprint(text, 16, 10))
+    rows = dict(fp.compare_with_next(frame(spark, [passage, text])).select("doc_id", "near_next").collect())
+    assert rows[0] > 0 and rows[1] == rows[0]
+    assert dict(fp.fingerprints(frame(spark, [passage, text])).collect()) == {0: fp.spelled(part), 1: ",".join(f"{a:08x}:{p}" for a, p in whole.items())}
+    some = fp.fingerprint(text, 16, 10, 16)
+    assert 0.2 < len(some) / len(whole) < 0.3 and set(some) <= set(whole.items())
+
+
 @pytest.mark.parametrize("ranges", [1, 7, 1000])
 def test_next_documents(spark, monkeypatch, ranges):
     rng = random.Random(4)
