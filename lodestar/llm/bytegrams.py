@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 GRAM = 4
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 
 def blocks(texts: list[bytes]) -> Iterator[slice]:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import bytegrams
-from lodestar.session import bounded_sample, staged, table
+from lodestar.llm.memo import release
+from lodestar.session import staged, table
 
 BITS = 15
 LANG_ATTRIBUTE = r"""(?i)<html[^>]*?\slang\s*=\s*["']?([a-z]{2,3})"""
@@ -54,6 +55,7 @@ def text_model(docs: DataFrame, sample: int) -> tuple[list[str], np.ndarray]:
     some = docs.join(F.broadcast(bar), "declared").where(place <= F.col("share") * float(1 << 52)).select("text", "declared")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             own: dict[str, list[bytes]] = {}
@@ -86,6 +88,7 @@ def text_evidence(docs: DataFrame, names: list[str], model: np.ndarray, temper:
     other = [c for c in docs.columns if c != "text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = [letters(t) for t in batch.column("text").to_pylist()]
             logs = np.zeros((len(texts), len(names) + 1))

@@ -1,9 +1,13 @@
-"""A memo of fixed size."""
+"""What a worker remembers: memos of fixed size, one operator's at a time."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable
 
+KEPT: dict[str, object] = {}
+
 
 class Memo(dict):
     """A dict that makes what it lacks and forgets old entries: what was not asked for while `most` others came goes."""
@@ -21,3 +25,21 @@ class Memo(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def kept(name: str, make: Callable):
+    """make()'s result, kept for later tasks of this worker under `name`."""
+    if name not in KEPT:
+        release()
+        KEPT[name] = make()
+    return KEPT[name]
+
+
+def release() -> None:
+    """Gives back the memory of what other operators' tasks kept in this worker."""
+    if KEPT:
+        KEPT.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim:
+            trim(0)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.binpack import pack_histogram
-from lodestar.llm.memo import Memo
+from lodestar.llm.memo import Memo, kept
 from lodestar.session import staged, table
 
 END = b"\0\0\0\0"
@@ -52,13 +51,12 @@ class WordIds:
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
-@lru_cache(2)
 def word_ids(path: str | None) -> WordIds:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    return WordIds(path)
+    return kept(f"tokenizer {path}", lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, capacity: int, tokenizer: str | None, with_ids: bool, id_col: str, text_col: str) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.llm.memo import release
 from lodestar.llm.spans import Span, masked
 from lodestar.session import staged, table
 
@@ -223,6 +224,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return [{"kind": s[0], "start": s[1], "end": s[2], "code": code_of(text, s, is_base)} for s in spans]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             base, more = [], []
             for text in batch.column(1).to_pylist():
@@ -260,6 +262,7 @@ def redact(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col
     admitted = frozenset(learn(staged(candidates(docs, id_col, text_col).drop("id")), least))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             out = []
             for text in batch.column(text_col).to_pylist():

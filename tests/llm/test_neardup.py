@@ -114,12 +114,12 @@ def test_classes_against_all_pairs(spark, seed):
 
 
 def test_a_large_family_is_compared_whole(spark):
-    """Most members are too far from the pivot; small tiles still find every link between them."""
+    """Most members are too far from the pivot; the prefix filter still finds every link between them."""
     rng = random.Random(5)
     base = prose(rng, 100)
     texts = [edited(rng, base, 0.02) for _ in range(60)]
     texts += [edited(rng, rng.choice(texts), 0.005) for _ in range(60)]
-    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(frame(spark, texts), tile=16).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(frame(spark, texts)).collect()}
     assert got == plain_classes(texts)
 
 
@@ -128,7 +128,39 @@ def test_edges_of_the_table(spark):
     assert {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
     assert neardup.classes(docs.limit(0)).count() == 0 and neardup.deduplicated(docs.limit(0)).count() == 0
     null_id = spark.createDataFrame([(None, "x y"), (None, "x y"), (1, "x y")], "doc_id long, text string")
-    assert sorted(str(r["doc_id"]) for r in neardup.deduplicated(null_id).collect()) == ["1", "None", "None"]
+    assert [r["doc_id"] for r in neardup.deduplicated(null_id).collect()] == [1]
+    assert [r["class_id"] for r in neardup.classes(null_id).collect()] == [1, 1, 1]
+
+
+def test_rows_without_an_id_and_rows_that_share_one(spark):
+    rng = random.Random(21)
+    text, far = prose(rng, 200), prose(rng, 200)
+    near = text + " more"
+    docs = spark.createDataFrame([(None, text), (None, near), (None, far), (7, far), (7, text), (0, "x y"), (None, "x y z")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["class_id"]) for r in neardup.classes(docs).collect()), key=str)
+    # the near copy without an id is tied to 7's second text, the far one to its first
+    assert got == sorted([(None, 7), (None, 7), (None, 7), (7, 7), (7, 7), (0, 0), (None, None)], key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in neardup.deduplicated(docs).collect()), key=str)
+    assert kept == sorted([(7, far), (7, text), (0, "x y"), (None, "x y z")], key=str)
+    lone = spark.createDataFrame([(None, text), (None, near)], "doc_id long, text string")
+    assert neardup.deduplicated(lone).count() == 1 and [r["class_id"] for r in neardup.classes(lone).collect()] == [None, None]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_crossing_misses_no_similar_pair(spark, seed):
+    """Families around the bar, of many roots and sizes, against all pairs."""
+    rng = random.Random(seed)
+    memo = neardup.word_memo()
+    shared = prose(rng, 40)
+    texts = [f"{shared} {prose(rng, rng.randint(3, 30))}" for _ in range(40)]
+    texts += [edited(rng, rng.choice(texts), rng.choice([0.0, 0.01, 0.03])) + " " + prose(rng, rng.randint(0, 8)) for _ in range(60)]
+    texts += [" ".join(rng.choices("a b c".split(), k=rng.randint(5, 14))) for _ in range(30)]
+    nodes = [(i.to_bytes(2, "big"), rng.randrange(6).to_bytes(1, "big"), t) for i, t in enumerate(texts)]
+    s = {n: neardup.shingles(neardup.words_of(t), memo) for n, _, t in nodes}
+    members = spark.createDataFrame([(n, len(s[n]), r) for n, r, _ in nodes], "node binary, n long, root binary")
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in neardup.crossing(members, spark.createDataFrame([(n, t) for n, _, t in nodes], "node binary, text string"), 0.8).collect()}
+    want = {(x, y) for x, rx, _ in nodes for y, ry, _ in nodes if x > y and rx != ry and plain_similar(s[x].tolist(), s[y].tolist())}
+    assert len(want) > 20 and want <= got and len(got) < len(nodes) ** 2 / 10
 
 
 @pytest.mark.parametrize("seed", range(4))

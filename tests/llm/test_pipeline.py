@@ -71,3 +71,16 @@ def test_stages(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     frame(spark, ["x"]).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_are_judged_one_by_one(spark, tmp_path):
+    """Rows that share a doc_id, or have none: a bad one takes no good one with it, and is not kept itself."""
+    rng = random.Random(3)
+    good = [prose(rng, 60) for _ in range(40)]
+    docs = frame(spark, [*good, "12345 678"], lang=["en"] * 40 + [None])
+    odd = spark.createDataFrame([(3, "99 88", None, "s", 5), (None, "77 66", None, "s", 5), (None, good[0] + " and more", "en", "s", 9), (4, prose(rng, 70), "en", "s", 9)], docs.schema)
+    sf = str(tmp_path)
+    kept = staged(corpus_pipeline.STAGES[0][1](spark, docs.unionAll(odd), sf))
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([*range(40), None, 4], key=str)
+    single = corpus_pipeline.STAGES[1][1](spark, kept, sf).collect()
+    assert sorted((r["doc_id"] for r in single), key=str) == sorted([*range(40), 4], key=str)
