@@ -10,13 +10,19 @@ from lodestar.session import staged, table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; `lang` becomes the language found. Others go."""
-    found = langid.identify(docs, declared=F.lower("lang"), host=F.lower("source"))
+    """Documents in a known language; `lang` becomes the language found. Others go.
+
+    Every row is judged by itself: by its text, lang and source. Rows that repeat a doc_id, or have none, are no exception. Null and empty
+    texts are of no language and go; a null lang or source is no evidence; long texts are judged whole; of equally likely languages
+    the first by name counts; an empty table stays empty; other columns are kept as they are.
+    """
+    # what a row is judged by: rows that agree in it are judged alike
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text", "lang", "source").alias("hash"))
+    found = langid.identify(docs.select(key.alias("key"), "text", "lang", "source"), id_col="key", declared=F.lower("lang"), host=F.lower("source"))
     # written, so that Spark knows its size; mostly nothing changes, and that needs no shuffle of the texts
-    changed = found.where("not kept or not (lang <=> declared)").groupBy(F.col("doc_id").alias("id"))
-    changed = staged(changed.agg(F.min("kept").alias("kept"), F.min("lang").alias("found")))
-    joined = docs.join(changed, docs["doc_id"] == changed["id"], "left").where("kept is null or kept")
-    return joined.select(*(F.coalesce("found", "lang").alias(c) if c == "lang" else c for c in docs.columns))
+    changed = staged(found.where("not kept or not (lang <=> declared)").groupBy("key").agg(F.min("kept").alias("kept"), F.min("lang").alias("found")))
+    whole = docs.select(F.struct("*").alias("whole"), key.alias("key")).join(changed, "key", "left").where("kept is null or kept")
+    return whole.select(*(F.coalesce("found", "whole.lang").alias(c) if c == "lang" else F.col(f"whole.`{c}`") for c in docs.columns))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
