@@ -8,6 +8,7 @@ capacity, not by the number of documents.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 Filling = tuple[tuple[int, int], ...]  # (length, items of it in one bin), longest first
@@ -72,24 +73,28 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
     return [group for room in rooms for group in by_room[room]]
 
 
-def completions(lengths: list[int], avail: dict[int, int], largest: int, capacity: int, width: int) -> list[Filling]:
-    """Undominated fillings around the largest item, least waste first.
+def completions(lengths: list[int], avail: dict[int, int], largest: int, capacity: int, effort: int) -> tuple[list[Filling], bool]:
+    """Undominated fillings around the largest item, least waste first, and whether these are all.
 
     A filling is dropped if a free item still fits, if a free item fits in place of a shorter one, or in place of two
-    that together are no longer than it: the other filling is then at least as good. `width` bounds the enumeration.
+    that together are no longer than it: the other filling is then at least as good. One item that fills the bin by itself
+    beats all else; a full bin of more items does not. `effort` bounds the enumeration.
     """
     room = capacity - largest
     cand = [x for x in lengths if x <= room and avail[x] - (x == largest) > 0]
     if room in cand:
-        return [((largest, 2),) if room == largest else ((largest, 1), (room, 1))]
+        return [((largest, 2),) if room == largest else ((largest, 1), (room, 1))], True
     least = cand[-1] if cand else 0
     found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
 
     def free(x: int, taken: tuple[int, ...]) -> bool:
         return avail[x] - (x == largest) - taken.count(x) > 0
 
     def dominated(taken: tuple[int, ...], slack: int) -> bool:
+        if slack == 0:
+            # nothing longer can take the place of one item; of two, only what is exactly as long
+            sums = {taken[i] + taken[j] for i in range(len(taken)) for j in range(i)}
+            return any(x in avail and x <= room and free(x, taken) for x in sums)
         for x in cand:
             if not free(x, taken):
                 continue
@@ -100,17 +105,16 @@ def completions(lengths: list[int], avail: dict[int, int], largest: int, capacit
         return False
 
     stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-    while stack and len(found) < width and steps < 50 * width:
-        steps += 1
+    left = effort // (len(cand) + 1)
+    while stack and left > 0:
+        left -= 1
         at, slack, taken = stack.pop()
         if slack < least or at == len(cand):
             if not dominated(taken, slack):
                 found.append((slack, taken))
-                if slack == 0:
-                    break
             continue
         # the deeper branch, which takes the longest that fits, is popped first
-        at = next((i for i in range(at, len(cand)) if cand[i] <= slack), len(cand))
+        at = max(at, bisect_left(cand, -slack, key=lambda x: -x))
         stack.append((at + 1, slack, taken) if at < len(cand) else (at, slack, taken))
         if at < len(cand) and free(cand[at], taken):
             stack.append((at, slack - cand[at], (*taken, cand[at])))
@@ -120,16 +124,40 @@ def completions(lengths: list[int], avail: dict[int, int], largest: int, capacit
         for x in taken:
             n[x] = n.get(x, 0) + 1
         out.append(tuple(sorted(n.items(), reverse=True)))
+    return out or [((largest, 1),)], not stack
+
+
+def greedy(hist: dict[int, int], capacity: int, among: int, effort: int) -> list[tuple[Filling, int]]:
+    """The `among` longest items by best fit among themselves, then the least wasteful filling around the longest left."""
+    own: dict[int, int] = {}
+    avail = dict(hist)
+    lengths = sorted(hist, reverse=True)
+    for x in lengths:
+        n = min(avail[x], among)
+        own[x], avail[x], among = n, avail[x] - n, among - n
+    out = best_fit({x: n for x, n in own.items() if n}, capacity)
+    at = 0
+    while at < len(lengths):
+        x = lengths[at]
+        if not avail[x]:
+            at += 1
+            continue
+        filling = completions(lengths[at:], avail, x, capacity, effort)[0][0]
+        times = min(avail[y] // n for y, n in filling)
+        for y, n in filling:
+            avail[y] -= n * times
+        out.append((filling, times))
     return out
 
 
-def pack_histogram(hist: dict[int, int], capacity: int, nodes: int = 20_000, width: int = 24, bulk: int = 400) -> Packing:
+def pack_histogram(hist: dict[int, int], capacity: int, nodes: int = 20_000, effort: int = 40_000) -> Packing:
     """Fewest bins for `hist` (length -> count).
 
-    Best-fit decreasing is the first incumbent; if it meets the lower bound it is optimal. Else bins are completed one
-    after another around the largest item left, and a branch is left once its waste exceeds what an improvement
-    may waste. While over `bulk` items remain, a filling is repeated as often as its items allow. The search ends
-    after `nodes` nodes with the best packing found; `optimal` says whether it is proven.
+    Best-fit decreasing is the first incumbent; if it meets the lower bound it is optimal. Else packings in which more and more of the
+    longest items stay among themselves are tried, and then bins are completed one after another around the largest item left; a
+    branch is left once its waste exceeds what an improvement may waste. A filling is first repeated as often as its items allow, then
+    taken once, at every size. The search ends after `nodes` nodes with the best packing found; `optimal` says whether it is proven:
+    the bound is met, or all was searched and no enumeration was cut short.
     """
     hist = {x: n for x, n in hist.items() if n > 0}
     if not hist:
@@ -140,26 +168,37 @@ def pack_histogram(hist: dict[int, int], capacity: int, nodes: int = 20_000, wid
     best = best_fit(hist, capacity)
     n_best = sum(m for _, m in best)
     volume, items = sum(x * n for x, n in hist.items()), sum(hist.values())
+    for among in sorted({items * k // 40 for k in (0, 1, 2, 3, 4, 6, 8, 12)}):
+        if n_best > bound:
+            other = greedy(hist, capacity, among, effort // 4)
+            if (n := sum(m for _, m in other)) < n_best:
+                best, n_best = other, n
     lengths = sorted(hist, reverse=True)
     avail = dict(hist)
     path: list[tuple[Filling, int]] = []
-    stack: list[list] = []
+    stack: list[Iterator[tuple[Filling, int]]] = []
     waste = bins = visited = 0
-    exact = items <= bulk and len(hist) > 0
     complete = True
 
-    def open_node() -> None:
-        largest = next((x for x in lengths if avail[x]), 0)
-        stack.append([iter(completions(lengths, avail, largest, capacity, width)) if largest else iter(())])
+    def branches() -> Iterator[tuple[Filling, int]]:
+        nonlocal complete
+        largest = next(x for x in lengths if avail[x])
+        fillings, all_ = completions(lengths, avail, largest, capacity, effort)
+        complete = complete and all_
+        for filling in fillings:
+            most = min(avail[x] // n for x, n in filling)
+            yield filling, most
+            if most > 1:
+                yield filling, 1
 
     if n_best > bound:
-        open_node()
+        stack.append(branches())
     while stack and n_best > bound:
         if visited >= nodes:
             complete = False
             break
-        filling = next(stack[-1][0], None)
-        if filling is None:
+        branch = next(stack[-1], None)
+        if branch is None:
             stack.pop()
             if path:
                 done, times = path.pop()
@@ -170,7 +209,7 @@ def pack_histogram(hist: dict[int, int], capacity: int, nodes: int = 20_000, wid
                 waste -= times * (capacity - sum(x * n for x, n in done))
             continue
         visited += 1
-        times = min(avail[x] // n for x, n in filling) if items > bulk else 1
+        filling, times = branch
         more = times * (capacity - sum(x * n for x, n in filling))
         if waste + more > (n_best - 1) * capacity - volume:
             continue
@@ -179,10 +218,7 @@ def pack_histogram(hist: dict[int, int], capacity: int, nodes: int = 20_000, wid
         items -= times * sum(n for _, n in filling)
         bins, waste = bins + times, waste + more
         path.append((filling, times))
-        if not items:
-            if bins < n_best:
-                best, n_best = list(path), bins
-            stack.append([iter(())])
-        else:
-            open_node()
-    return Packing(best, n_best, bound, n_best == bound or (complete and exact))
+        if not items and bins < n_best:
+            best, n_best = list(path), bins
+        stack.append(branches() if items else iter(()))
+    return Packing(best, n_best, bound, n_best == bound or complete)

@@ -78,13 +78,13 @@ def plan(rows: DataFrame, weights: tuple[dict[str, int], ...], percent: int, epo
 
 
 def order_key(seed: int) -> Column:
-    """The place of a document in its leaf's next epoch."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("turns"), F.col("doc_id")).cast("binary"))
+    """The place of a document in its leaf's next epoch; those without a doc_id share one."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("turns"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
 
 
 def described(docs: DataFrame) -> list[Column]:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), domain_of(text).alias("domain"), F.coalesce("lang", F.lit("")).alias("language"), F.coalesce("source", F.lit("")).alias("source"), tokens_of(text).alias("tokens")]
+    return [F.col("doc_id").cast("long").alias("doc_id"), domain_of(text).alias("domain"), F.coalesce("lang", F.lit("")).alias("language"), F.coalesce("source", F.lit("")).alias("source"), tokens_of(text).alias("tokens")]
 
 
 def quotas(docs: DataFrame, weights: tuple[dict[str, int], ...] = WEIGHTS, percent: int = 60, epochs: int = 4, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -117,15 +117,16 @@ def copies(seed: int) -> Column:
 def mixed(docs: DataFrame, weights: tuple[dict[str, int], ...] = WEIGHTS, percent: int = 60, epochs: int = 4, seed: int = 17) -> DataFrame:
     """doc_id, domain, language, source, tokens, copies of every document that the mix takes, once or more often.
 
-    The text's form is its domain; a null language or source is the empty name, a null doc_id counts as -1, a null or
-    empty text has no tokens. A leaf without tokens gives nothing. Repeated rows go together. An empty table gives none.
+    The text's form is its domain; a null language or source is the empty name; a null doc_id stays null, and all rows without one
+    that a leaf has go together, as do repeated rows and others that tie in their order key. A null or empty text has no tokens; long ones are
+    counted whole. A leaf without tokens gives nothing. An empty table gives none. Other columns are ignored, whatever their names.
     """
     leaves, rows = quotas(docs, weights, percent, epochs, seed)
     return rows.join(leaves, list(LEVELS)).withColumn("copies", copies(seed)).where("copies > 0").select("doc_id", *LEVELS, "tokens", "copies")
 
 
 def remixed(docs: DataFrame, weights: tuple[dict[str, int], ...] = WEIGHTS, percent: int = 100, epochs: int = 4, seed: int = 17) -> DataFrame:
-    """The rows of `docs` that the mix takes, each as often as it takes them, with the columns of `docs`."""
+    """The rows of `docs` that the mix takes, each as often as it takes them, with the columns of `docs`; nulls and ties as in mixed()."""
     leaves, _ = quotas(docs, weights, percent, epochs, seed)
     own = docs.select(F.struct(*docs.columns).alias("whole"), *described(docs))
     taken = own.join(leaves, list(LEVELS)).withColumn("copies", copies(seed)).where("copies > 0")
@@ -150,7 +151,7 @@ def case_sql(name: str, weights: dict[str, int]) -> str:
 
 
 OP10_SQL = f"""
-WITH t AS (SELECT coalesce(doc_id, -1) AS doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS language, coalesce(source, '') AS source FROM documents),
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS language, coalesce(source, '') AS source FROM documents),
 d AS (SELECT doc_id, language, source, CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!!') THEN 'loud' ELSE 'prose' END AS domain,
   CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(replace(text, ' ', ''), chr(10), '')) + 1 END::BIGINT AS tokens FROM t),
 leaf AS (SELECT domain, language, source, sum(tokens)::BIGINT AS size, 4 * sum(tokens)::BIGINT AS cap, {case_sql("source", WEIGHTS[2])} AS weight FROM d GROUP BY ALL),
@@ -161,7 +162,7 @@ mid1 AS ({poured_sql("mid0", "domain", "language")}),
 end0 AS (SELECT l.domain, l.language, l.source, l.size, l.cap, l.weight, m.budget AS above FROM leaf l JOIN mid1 m USING (domain, language)),
 end1 AS ({poured_sql("end0", "domain, language", "source")}),
 plan AS (SELECT domain, language, source, budget // size AS turns, budget % size AS rest FROM end1 WHERE size > 0),
-k AS (SELECT d.*, turns, rest, md5(concat('17:', turns, ':', doc_id)) AS key FROM d JOIN plan USING (domain, language, source)),
+k AS (SELECT d.*, turns, rest, md5(concat('17:', turns, ':', coalesce(doc_id::VARCHAR, 'null'))) AS key FROM d JOIN plan USING (domain, language, source)),
 s AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, language, source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k)
 SELECT doc_id, domain, language, source, tokens, (turns + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM s WHERE turns > 0 OR upto <= rest
 """

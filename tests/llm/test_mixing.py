@@ -55,7 +55,7 @@ def plain_mix(rows, percent, epochs, seed, weights):
     for k, size in leaf.items():
         if size and k in shares:
             turns, rest = divmod(shares[k], size)
-            own = sorted((hashlib.md5(f"{seed}:{turns}:{r[0]}".encode()).hexdigest(), r[4], r[0]) for r in rows if r[1:4] == k)
+            own = sorted((hashlib.md5(f"{seed}:{turns}:{'null' if r[0] is None else r[0]}".encode()).hexdigest(), r[4], r[0]) for r in rows if r[1:4] == k)
             total = 0
             for key in sorted({x[0] for x in own}):
                 group = [x for x in own if x[0] == key]
@@ -97,6 +97,11 @@ def test_remixed_rows(spark):
     assert mixing.mixed(docs.unionAll(docs), percent=100).groupBy("doc_id").agg(F.countDistinct("copies").alias("n")).where("n > 1").count() == 0
 
 
+def test_rows_without_an_id_are_not_those_of_another(spark):
+    docs = spark.createDataFrame([(None, "a b c", "en", "s"), (-1, "d e f", "en", "s"), (None, "g h i", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert sorted((r["doc_id"] for r in mixing.mixed(docs, percent=100).collect()), key=str) == [-1, None, None]
+
+
 def test_mix_matches_its_sql(spark, tmp_path):
     rng = random.Random(3)
     docs = frame(spark, [prose(rng, rng.randint(1, 50)) for _ in range(300)] + [None, ""], lang=[rng.choice(["en", "de", None]) for _ in range(302)], source=[rng.choice(["src0", "s1", "s2"]) for _ in range(302)])

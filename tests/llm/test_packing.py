@@ -60,6 +60,61 @@ def test_small_instances_are_optimal(seed):
     assert p.optimal and p.bins == fewest(items, capacity)
 
 
+def into(items, capacity, bins, steps=100_000):
+    """Whether the items fit into so many bins, by trying all placements; None if that takes too many steps."""
+    items, rooms = sorted(items, reverse=True), [capacity] * bins
+
+    def go(i):
+        nonlocal steps
+        steps -= 1
+        if i == len(items) or steps < 0:
+            return True
+        for k in {room: k for k, room in reversed(list(enumerate(rooms))) if room >= items[i]}.values():
+            rooms[k] -= items[i]
+            if go(i + 1):
+                return True
+            rooms[k] += items[i]
+        return False
+
+    found = go(0)
+    return None if steps < 0 else found
+
+
+def test_what_is_called_optimal_is():
+    """1,000 instances of 8 to 22 items, those whose packing is above its bound tried exactly."""
+    known = [44, 42, 39, 34, 30, 30, 29, 29, 28, 25, 24, 23, 21]  # a full bin of three items is not always right
+    assert binpack.pack_histogram(hist_of(known), 100).bins == 4
+    rng = random.Random(4)
+    tried = 0
+    for _ in range(1_000):
+        capacity = rng.choice([50, 100, 150])
+        items = [rng.randint(capacity // rng.choice([6, 5, 4]), capacity * rng.choice([45, 50, 60]) // 100) for _ in range(rng.randint(8, 22))]
+        p = binpack.pack_histogram(hist_of(items), capacity)
+        holds(p.patterns, hist_of(items), capacity)
+        if p.optimal and p.bins > p.lower_bound:
+            fits = into(items, capacity, p.bins - 1)
+            assert not fits
+            tried += fits is False
+    assert tried > 40
+
+
+def test_a_search_cut_short_says_so():
+    rng = random.Random(5)
+    for _ in range(40):
+        items = hist_of([rng.randint(15, 45) for _ in range(20)])
+        p = binpack.pack_histogram(items, 100, nodes=5, effort=60)
+        holds(p.patterns, items, 100)
+        assert p.optimal <= (p.bins == binpack.pack_histogram(items, 100).bins)
+
+
+def test_large_histograms_are_improved():
+    rng = random.Random(1)
+    hist = hist_of([rng.randint(500, 900) for _ in range(3_000)])
+    p = binpack.pack_histogram(hist, 2048, nodes=3_000)
+    holds(p.patterns, hist, 2048)
+    assert p.bins < sum(m for _, m in binpack.best_fit(hist, 2048))
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_classes_pack_as_single_items(seed):
     rng = random.Random(seed)
