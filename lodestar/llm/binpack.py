@@ -73,17 +73,17 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
     return [group for room in rooms for group in by_room[room]]
 
 
-def completions(lengths: list[int], avail: dict[int, int], largest: int, capacity: int, effort: int) -> tuple[list[Filling], bool]:
-    """Undominated fillings around the largest item, least waste first, and whether these are all.
+def completions(lengths: list[int], avail: dict[int, int], largest: int, capacity: int, effort: int) -> tuple[list[Filling], bool, int]:
+    """Undominated fillings around the largest item, least waste first, whether these are all, and the work done.
 
     A filling is dropped if a free item still fits, if a free item fits in place of a shorter one, or in place of two
     that together are no longer than it: the other filling is then at least as good. One item that fills the bin by itself
-    beats all else; a full bin of more items does not. `effort` bounds the enumeration.
+    beats all else; a full bin of more items does not. `effort` bounds the work of the enumeration, in lengths looked at.
     """
     room = capacity - largest
     cand = [x for x in lengths if x <= room and avail[x] - (x == largest) > 0]
     if room in cand:
-        return [((largest, 2),) if room == largest else ((largest, 1), (room, 1))], True
+        return [((largest, 2),) if room == largest else ((largest, 1), (room, 1))], True, len(lengths)
     least = cand[-1] if cand else 0
     found: list[tuple[int, tuple[int, ...]]] = []
 
@@ -105,11 +105,12 @@ def completions(lengths: list[int], avail: dict[int, int], largest: int, capacit
         return False
 
     stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-    left = effort // (len(cand) + 1)
-    while stack and left > 0:
-        left -= 1
+    work = 0
+    while stack and work < effort:
+        work += 8
         at, slack, taken = stack.pop()
         if slack < least or at == len(cand):
+            work += len(cand)
             if not dominated(taken, slack):
                 found.append((slack, taken))
             continue
@@ -124,11 +125,14 @@ def completions(lengths: list[int], avail: dict[int, int], largest: int, capacit
         for x in taken:
             n[x] = n.get(x, 0) + 1
         out.append(tuple(sorted(n.items(), reverse=True)))
-    return out or [((largest, 1),)], not stack
+    return out or [((largest, 1),)], not stack, work + len(lengths)
 
 
-def greedy(hist: dict[int, int], capacity: int, among: int, effort: int) -> list[tuple[Filling, int]]:
-    """The `among` longest items by best fit among themselves, then the least wasteful filling around the longest left."""
+def greedy(hist: dict[int, int], capacity: int, among: int, effort: int, work: int) -> tuple[list[tuple[Filling, int]], int]:
+    """The `among` longest items by best fit among themselves, then the least wasteful filling around the longest left.
+
+    What is left after `work` goes by best fit. Returns the fillings and the work not done.
+    """
     own: dict[int, int] = {}
     avail = dict(hist)
     lengths = sorted(hist, reverse=True)
@@ -137,27 +141,28 @@ def greedy(hist: dict[int, int], capacity: int, among: int, effort: int) -> list
         own[x], avail[x], among = n, avail[x] - n, among - n
     out = best_fit({x: n for x, n in own.items() if n}, capacity)
     at = 0
-    while at < len(lengths):
+    while at < len(lengths) and work > 0:
         x = lengths[at]
         if not avail[x]:
             at += 1
             continue
-        filling = completions(lengths[at:], avail, x, capacity, effort)[0][0]
+        fillings, _, done = completions(lengths[at:], avail, x, capacity, effort)
+        filling, work = fillings[0], work - done
         times = min(avail[y] // n for y, n in filling)
         for y, n in filling:
             avail[y] -= n * times
         out.append((filling, times))
-    return out
+    return out + best_fit({x: n for x, n in avail.items() if n}, capacity), work
 
 
-def pack_histogram(hist: dict[int, int], capacity: int, nodes: int = 20_000, effort: int = 40_000) -> Packing:
+def pack_histogram(hist: dict[int, int], capacity: int, work: int = 12_000_000, effort: int = 20_000) -> Packing:
     """Fewest bins for `hist` (length -> count).
 
     Best-fit decreasing is the first incumbent; if it meets the lower bound it is optimal. Else packings in which more and more of the
     longest items stay among themselves are tried, and then bins are completed one after another around the largest item left; a
     branch is left once its waste exceeds what an improvement may waste. A filling is first repeated as often as its items allow, then
-    taken once, at every size. The search ends after `nodes` nodes with the best packing found; `optimal` says whether it is proven:
-    the bound is met, or all was searched and no enumeration was cut short.
+    taken once, at every size. The search ends after `work`, counted in lengths looked at, with the best packing found; `optimal` says
+    whether it is proven: the bound is met, or all was searched and no enumeration was cut short at `effort`.
     """
     hist = {x: n for x, n in hist.items() if n > 0}
     if not hist:
@@ -168,23 +173,24 @@ def pack_histogram(hist: dict[int, int], capacity: int, nodes: int = 20_000, eff
     best = best_fit(hist, capacity)
     n_best = sum(m for _, m in best)
     volume, items = sum(x * n for x, n in hist.items()), sum(hist.values())
-    for among in sorted({items * k // 40 for k in (0, 1, 2, 3, 4, 6, 8, 12)}):
+    for among in sorted({items * k // 40 for k in (0, 2, 6)}):
         if n_best > bound:
-            other = greedy(hist, capacity, among, effort // 4)
+            other, left = greedy(hist, capacity, among, effort // 4, work // 8)
+            work -= work // 8 - max(left, 0)
             if (n := sum(m for _, m in other)) < n_best:
                 best, n_best = other, n
     lengths = sorted(hist, reverse=True)
     avail = dict(hist)
     path: list[tuple[Filling, int]] = []
     stack: list[Iterator[tuple[Filling, int]]] = []
-    waste = bins = visited = 0
+    waste = bins = 0
     complete = True
 
     def branches() -> Iterator[tuple[Filling, int]]:
-        nonlocal complete
+        nonlocal complete, work
         largest = next(x for x in lengths if avail[x])
-        fillings, all_ = completions(lengths, avail, largest, capacity, effort)
-        complete = complete and all_
+        fillings, all_, done = completions(lengths, avail, largest, capacity, effort)
+        complete, work = complete and all_, work - done
         for filling in fillings:
             most = min(avail[x] // n for x, n in filling)
             yield filling, most
@@ -194,7 +200,7 @@ def pack_histogram(hist: dict[int, int], capacity: int, nodes: int = 20_000, eff
     if n_best > bound:
         stack.append(branches())
     while stack and n_best > bound:
-        if visited >= nodes:
+        if work <= 0:
             complete = False
             break
         branch = next(stack[-1], None)
@@ -208,7 +214,7 @@ def pack_histogram(hist: dict[int, int], capacity: int, nodes: int = 20_000, eff
                 bins -= times
                 waste -= times * (capacity - sum(x * n for x, n in done))
             continue
-        visited += 1
+        work -= 8
         filling, times = branch
         more = times * (capacity - sum(x * n for x, n in filling))
         if waste + more > (n_best - 1) * capacity - volume:

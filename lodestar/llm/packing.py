@@ -106,12 +106,13 @@ def layout(patterns: list) -> dict[int, tuple[np.ndarray, ...]]:
     return {x: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for x, rows in runs.items()}
 
 
-def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", nodes: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", work: int = 12_000_000) -> DataFrame:
     """Packs all documents into as few sequences of at most `capacity` tokens as bin completion finds.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset and, with `with_ids`, ids (binary,
     little-endian unsigned 32-bit). A document's ids end in 0; only longer ones are cut. A null or empty text is the
-    lone id 0. Repeated rows and ids are packed row by row; an empty table gives no rows; other columns are ignored.
+    lone id 0. Repeated rows, null and repeated ids are packed row by row; an empty table gives no rows; other columns are ignored, whatever
+    their names. Pieces of one length tie; any order of them packs as well. `work` bounds the search in the driver.
 
     The text is read once. What goes to the driver is the histogram of lengths and what comes back is the layout of
     the patterns: both are bounded by `capacity`, whatever the corpus.
@@ -122,7 +123,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, wi
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_part.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     hist = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    runs = spark.sparkContext.broadcast(layout(pack_histogram(hist, capacity, nodes).patterns))
+    runs = spark.sparkContext.broadcast(layout(pack_histogram(hist, capacity, work).patterns))
     ranked = cut.join(starts, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"), *["ids"] * with_ids)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

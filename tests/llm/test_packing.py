@@ -102,7 +102,7 @@ def test_a_search_cut_short_says_so():
     rng = random.Random(5)
     for _ in range(40):
         items = hist_of([rng.randint(15, 45) for _ in range(20)])
-        p = binpack.pack_histogram(items, 100, nodes=5, effort=60)
+        p = binpack.pack_histogram(items, 100, work=900, effort=60)
         holds(p.patterns, items, 100)
         assert p.optimal <= (p.bins == binpack.pack_histogram(items, 100).bins)
 
@@ -110,7 +110,7 @@ def test_a_search_cut_short_says_so():
 def test_large_histograms_are_improved():
     rng = random.Random(1)
     hist = hist_of([rng.randint(500, 900) for _ in range(3_000)])
-    p = binpack.pack_histogram(hist, 2048, nodes=3_000)
+    p = binpack.pack_histogram(hist, 2048)
     holds(p.patterns, hist, 2048)
     assert p.bins < sum(m for _, m in binpack.best_fit(hist, 2048))
 
@@ -140,7 +140,7 @@ def test_search_beats_best_fit_and_limits_hold():
         better += p.bins < sum(m for _, m in binpack.best_fit(hist, 100))
     assert better
     big = {x: 1000 + x for x in range(300, 900, 7)}
-    p = binpack.pack_histogram(big, 2048, nodes=500)
+    p = binpack.pack_histogram(big, 2048, work=500_000)
     holds(p.patterns, big, 2048)
     assert binpack.pack_histogram({}, 10).bins == 0
     with pytest.raises(ValueError):
