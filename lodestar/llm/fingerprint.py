@@ -145,15 +145,15 @@ def fingerprints(docs: DataFrame, k: int = 16, s: int = 10, keep: int = PARTS, i
 
 
 def followed(docs: DataFrame, rows_a_range: int = 2_000, most_ranges: int = 100_000) -> DataFrame:
-    """Rows (span, ghost, doc_id, tie, text), sorted so that each document stands before the next one by descending doc_id.
+    """Rows (span, ghost, doc_id, none, tie, text), sorted so that each document stands before the next one by descending doc_id.
 
     The table is dealt to ranges of doc_id in one shuffle. Ranges end at doc_ids that exist, approximate quantiles;
     the rows with such an id are also sent, as ghosts, to the range that they follow, the very first ones to the last
     range. Only the cuts go to the driver, at most `most_ranges` numbers. Rows of one doc_id are in the order of their
-    text's hash; a null doc_id counts as the smallest.
+    text's hash. A row without a doc_id (none) comes after all others; its doc_id reads as the least long.
     """
     lowest = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = rows.select("doc_id")
     n = ids.count()
     ranges = max(1, min(most_ranges, -(-n // rows_a_range)))
@@ -167,10 +167,10 @@ def followed(docs: DataFrame, rows_a_range: int = 2_000, most_ranges: int = 100_
             head = np.flatnonzero(cuts[np.minimum(span, len(cuts) - 1)] == ids)
             for rows, at, ghost in ((batch, span, False), (batch.take(pa.array(head)), (span[head] + 1) % len(cuts), True)):
                 if rows.num_rows:
-                    yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(np.full(rows.num_rows, ghost)), *rows.columns], names=["span", "ghost", "doc_id", "tie", "text"])
+                    yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(np.full(rows.num_rows, ghost)), *rows.columns], names=["span", "ghost", "doc_id", "none", "tie", "text"])
 
-    dealt = rows.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(deal, "span int, ghost boolean, doc_id long, tie long, text string")
-    return dealt.repartition("span").sortWithinPartitions("span", "ghost", F.desc("doc_id"), "tie")
+    dealt = rows.select("doc_id", "none", F.xxhash64("text").alias("tie"), "text").mapInArrow(deal, "span int, ghost boolean, doc_id long, none boolean, tie long, text string")
+    return dealt.repartition("span").sortWithinPartitions("span", "ghost", F.desc("doc_id"), "none", "tie")
 
 
 def edited(text: str, following: str) -> str:
@@ -183,9 +183,10 @@ def compare_with_next(docs: DataFrame, k: int = 16, s: int = 10, keep: int = PAR
     """Each document's fingerprint beside that of its edited text and of the next document by descending doc_id.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The document
-    after the last is the first, so a lone one follows itself. A null text counts as empty; a row that repeats
-    another is a document of its own; an empty table gives no rows. Fingerprints are longer than their texts, so rows
-    go out in batches of about BATCH_BYTES.
+    after the last is the first, so a lone one follows itself. A null text counts as empty; a null doc_id stays null and comes last; a row
+    that repeats another is a document of its own; rows that tie in doc_id are in the order of their text's hash; long texts are
+    taken whole; an empty table gives no rows; other columns are ignored, whatever their names. Fingerprints are longer than
+    their texts, so rows go out in batches of about BATCH_BYTES.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
@@ -198,7 +199,8 @@ def compare_with_next(docs: DataFrame, k: int = 16, s: int = 10, keep: int = PAR
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for span, ghost, doc, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+            for span, ghost, doc, none, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)), strict=True):
+                doc = None if none else doc
                 if last and last[0] == span:
                     own = anchored(text, k, s, keep)
                     changed = edited(last[2], text)

@@ -124,7 +124,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     if lang is a language and p >= `least`.
 
     Null and empty texts, and those of ASCII digits and signs alone, are of no language and are not kept. A null host, suffix or
-    declared language is no evidence. Repeated rows are judged row by row; an empty table gives no rows. The text model is
+    declared language is no evidence. Repeated rows and null ids are judged row by row, long texts whole; of languages that tie the first
+    by name counts; an empty table gives no rows; other columns are ignored, whatever their names. The text model is
     fitted on about `sample` rows of each declared language; all other counts cover all rows. No declared language is left
     out unless its texts show no grams.
     """

@@ -246,7 +246,8 @@ def learn(found: DataFrame, least: float) -> list[str]:
 def detect(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Personal data of every whole text: id_col, base and found, arrays of (kind, start, end), by kind and then start.
 
-    A null text counts as empty and has no spans; repeated rows are scanned row by row; an empty table gives no rows.
+    A null text counts as empty and has no spans; a null id stays null; repeated rows are scanned row by row, long texts whole; spans that tie
+    in kind and start are in the order of their end; an empty table gives no rows; other columns are ignored, whatever their names.
     The text is read once; what is kept of it is its spans.
     """
     found = staged(candidates(docs, id_col, text_col))
@@ -258,7 +259,11 @@ def detect(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col
 
 
 def redact(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with every span of personal data replaced by its kind in angle brackets. Nulls stay null."""
+    """The rows with every span of personal data replaced by its kind in angle brackets.
+
+    Null and empty texts stay; repeated rows and rows without an id are treated row by row, long texts whole; of overlapping spans the earlier,
+    then the longer one names the kind; an empty table stays empty; all other columns are kept, whatever their names.
+    """
     admitted = frozenset(learn(staged(candidates(docs, id_col, text_col).drop("id")), least))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -116,7 +116,8 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = 5_000, min_words:
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept. The score is
     the mean over the text's hashed 4-byte grams of log p(target) / p(raw); a document is kept if the base rules
     pass and its score is not under the threshold of model(). Null texts count as empty and fail the base rules;
-    repeated rows are judged row by row; without usable labels only the base rules decide.
+    repeated rows and rows without a doc_id are judged row by row; long texts whole; a score equal to the threshold is kept; an empty table gives
+    no rows; other columns are ignored, whatever their names; without usable labels only the base rules decide.
     """
     weights, threshold = model(docs, labels, sample)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2 ** BITS doubles

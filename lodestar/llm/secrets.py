@@ -131,7 +131,8 @@ def scan(docs: DataFrame, samples: list[tuple[str, int]] | None = None, least: f
     """Secrets of every whole text: id_col, base and found, arrays of (kind, start, end) by start, then kind.
 
     `samples` are labelled strings (1: random, 0: ordinary) that train the two models; the default ones are drawn by
-    rule. A null text counts as empty and has no spans; repeated rows are scanned row by row.
+    rule. A null text counts as empty and has no spans; a null id stays null; repeated rows are scanned row by row; long texts are scanned
+    whole; spans that start together are in the order of their kinds; an empty table gives no rows; other columns are ignored.
     """
     weights = train(labelled_samples(3_000) if samples is None else samples)  # about 70 x 70, whatever the corpus
     shared = docs.sparkSession.sparkContext.broadcast(weights)

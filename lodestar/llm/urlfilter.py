@@ -57,7 +57,9 @@ def judged(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ..
 
     `listed` has a column url. A canonical URL that is in the list is listed; rules come before the list, and what
     neither names is allowed. A url that is null or has no :// has empty parts, no rule, no canonical form and is
-    allowed. Nulls in the list do not matter, nor do repeats; repeated rows are judged row by row.
+    allowed. Nulls in the list do not matter, nor do repeats; repeated rows and null ids are judged row by row, long urls whole; rules of one
+    length that both fit: the last in the order of the text; an empty table gives no rows, an empty list lists nothing; other columns
+    are ignored, whatever their names.
     """
     verdicts = {rule: verdict for verdict, rule in rules}
     url = F.col(url_col).cast("string")
