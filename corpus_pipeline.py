@@ -26,22 +26,22 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates, as neardup.deduplicated() says for nulls, ties, repeats and the rest."""
     return neardup.deduplicated(docs)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind; n_chars follows the text."""
+    """Personal data replaced by its kind; n_chars, which must be a column, follows the text. Nulls and the rest as in pii.redact()."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents taken once or more often, so that tokens come near the target weights."""
+    """Documents taken once or more often, so that tokens come near the target weights; nulls and the rest as in mixing.mixed()."""
     return mixing.remixed(docs, percent=100)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens, with the token ids of every piece."""
+    """Sequences of at most 2048 tokens, with the token ids of every piece; nulls and the rest as in packing.pack()."""
     return packing.pack(docs, with_ids=True)
 
 
