@@ -11,6 +11,21 @@ from lodestar.errors import InvalidArgument
 METRICS = ("l2", "ip", "cosine")
 
 
+@dataclass(frozen=True)
+class ReadOptions:
+    """Taken with every read. Parquet pages are always checked as far as their writer summed them, and nothing is cached: no effect."""
+
+    verify_checksums: bool = False
+    fill_cache: bool = True
+
+
+@dataclass(frozen=True)
+class WriteOptions:
+    """Taken with every change. A change is in a committed manifest before its call returns, with `sync` or without."""
+
+    sync: bool = False
+
+
 @dataclass(frozen=True)
 class IndexOptions:
     """Fixed when an index is made. `allow_replace_deleted` is stored and has no effect."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestar.errors import AlreadyExists, InvalidArgument, NotFound
 from lodestar.operators import graph, records, search
-from lodestar.options import CHANGES, EDGES, NODES, RECORDS, IndexOptions, SearchOptions
+from lodestar.options import CHANGES, EDGES, NODES, RECORDS, IndexOptions, ReadOptions, SearchOptions, WriteOptions
 from lodestar.sources.store import Store
 
 MOST_DELTAS = 8
@@ -29,7 +29,7 @@ def signed(id_: int) -> int:
 
 
 class Engine:
-    """Write options have no parameter here: every commit is durable once Spark's job has ended."""
+    """A change is durable once its call has returned; `write` and `read` options are taken and change nothing."""
 
     def __init__(self, spark: SparkSession, path: str, create_if_missing: bool = True, error_if_exists: bool = False):
         self.spark = spark
@@ -113,37 +113,37 @@ class Engine:
         if entry["deltas"]:
             self._commit(name, {**entry, "base": self.store.write(self.records(name), "id"), "deltas": []})
 
-    def put_many(self, name: str, rows: DataFrame) -> None:
+    def put_many(self, name: str, rows: DataFrame, write: WriteOptions | None = None) -> None:
         self._entry(name)
         self.apply(name, self._shaped(rows).select(F.lit(0).cast("long").alias("seq"), F.lit("put").alias("op"), "id", "embedding", "payload"))
 
-    def put(self, name: str, id_: int, embedding: list[float], payload: str = "") -> None:
+    def put(self, name: str, id_: int, embedding: list[float], payload: str = "", write: WriteOptions | None = None) -> None:
         """One record; a put without payload clears it."""
         options = self.options(name)
         if len(embedding) != options.dimension:
             raise InvalidArgument(f"vector dimension {len(embedding)} does not match index dimension {options.dimension}")
         self.put_many(name, self.spark.createDataFrame([(signed(id_), [float(np.float32(x)) for x in embedding], payload)], RECORDS))
 
-    def delete(self, name: str, id_: int) -> None:
+    def delete(self, name: str, id_: int, write: WriteOptions | None = None) -> None:
         self.get(name, id_)
         self.delete_many(name, self.spark.createDataFrame([(signed(id_),)], "id long"))
 
-    def delete_many(self, name: str, ids: DataFrame) -> None:
+    def delete_many(self, name: str, ids: DataFrame, write: WriteOptions | None = None) -> None:
         """Deletes the records with these ids, as far as there are any."""
         self.apply(name, ids.select(F.lit(0).cast("long").alias("seq"), F.lit("delete").alias("op"), F.col("id").cast("long").alias("id"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("payload")))
 
-    def get(self, name: str, id_: int) -> tuple[int, list[float], str]:
+    def get(self, name: str, id_: int, read: ReadOptions | None = None) -> tuple[int, list[float], str]:
         row = self.records(name).where(F.col("id") == signed(id_)).first()
         if row is None:
             raise NotFound("vector id not found")
         return id_, list(row["embedding"]), row["payload"] or ""
 
-    def get_many(self, name: str, ids: DataFrame) -> DataFrame:
+    def get_many(self, name: str, ids: DataFrame, read: ReadOptions | None = None) -> DataFrame:
         return records.found(self.records(name), ids)
 
     # search
 
-    def search(self, name: str, query: list[float], options: SearchOptions | None = None) -> DataFrame:
+    def search(self, name: str, query: list[float], options: SearchOptions | None = None, read: ReadOptions | None = None) -> DataFrame:
         """id, score (and payload), nearest first."""
         options = (options or SearchOptions()).check()
         index = self.options(name)
@@ -160,7 +160,7 @@ class Engine:
             found = held.select("id", "payload").join(F.broadcast(found), "id", "right").select("id", "score", F.coalesce("payload", F.lit("")).alias("payload"))
         return found.orderBy("score", "id")
 
-    def search_many(self, name: str, queries: DataFrame, options: SearchOptions | None = None) -> DataFrame:
+    def search_many(self, name: str, queries: DataFrame, options: SearchOptions | None = None, read: ReadOptions | None = None) -> DataFrame:
         """qid, rank, id, score for queries (qid, embedding)."""
         options = (options or SearchOptions()).check()
         index = self.options(name)

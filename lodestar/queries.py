@@ -71,7 +71,7 @@ def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def get_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).where("id = 7").select("id", F.round(F.col("embedding")[0].cast("double"), 6).alias("x0"), "payload")
+    return vectors(spark, sf_dir).where("id = 7").select("id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), "payload")
 
 
 def multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = records.upserted(vectors(spark, sf_dir), moved(spark, sf_dir))
-    return out.select("id", F.round(F.col("embedding")[0].cast("double"), 6).alias("x0"), "payload")
+    return out.select("id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), "payload")
 
 
 def upsert_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,11 +245,7 @@ def parsed(rows: DataFrame) -> DataFrame:
 
 
 def csv_vector_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed(texts(spark, sf_dir, 3))
-
-
-def csv_vector_parse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with all elements; csv_vector_parse and its SQL take the first three."""
+    """All elements of the vectors, spelled and parsed again."""
     return parsed(texts(spark, sf_dir, DIM))
 
 
@@ -269,14 +265,7 @@ def metric_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of command lines made from conversations."""
-    line = F.concat(F.lit("  VPUT\t"), "role", F.lit(" \t "), F.col("turn").cast("string"), F.lit("  "), F.substring("text", 1, 60))
-    parts = codecs.split_inline(F.regexp_replace(line, "[\r\n]", " "))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(parts).cast("long").alias("n_args"), parts[0].alias("command"), parts[1].alias("index_name"), F.element_at(parts, -1).alias("last_arg"))
-
-
-def split_inline_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the whole text of every turn; split_inline and its SQL take the first 60 characters."""
+    """Words of command lines made from conversations, each with the whole text of its turn."""
     line = F.concat(F.lit("  VPUT\t"), "role", F.lit(" \t "), F.col("turn").cast("string"), F.lit("  "), "text")
     parts = codecs.split_inline(F.regexp_replace(line, "[\r\n]", " "))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(parts).cast("long").alias("n_args"), parts[0].alias("command"), parts[1].alias("index_name"), F.element_at(parts, -1).alias("last_arg"))
@@ -318,7 +307,7 @@ QUERIES = {
         knn_excluding_self, knn_payload_join, distances, full_scan, get_by_id, multi_get, list_indexes, has_index, prefix_scan, key_encoding,
         dimension_check, upsert, upsert_changes, delete_anti_join, changelog_replay, changelog_stream, lru_k_distance, lru_k_victims,
         log_last_image, index_stats, stats_by_index, level_sampling, graph_entry_point, knn_graph_undirected, graph_degrees, neighbour_expansion,
-        greedy_step, diverse_neighbours, graph_build, graph_search, csv_vector_parse, csv_vector_parse_whole, number_parse, metric_parse, split_inline, split_inline_whole,
+        greedy_step, diverse_neighbours, graph_build, graph_search, csv_vector_parse, number_parse, metric_parse, split_inline,
         float_format, payload_crc32c, command_session, engine_round_trip,
     )},
 }
@@ -347,10 +336,10 @@ NEAR = f"""d AS (SELECT b.vec_id AS src, a.vec_id AS dst, {L2} AS distance FROM
 near AS (SELECT src, dst, distance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS n FROM d) WHERE n <= 8)"""
 LOG = "SELECT user_id AS id, arg_max(event_type, event_id) AS payload FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'"
 INDEXES = "(SELECT concat('ix', label) AS index_name, vec_id AS id, embedding FROM embeddings)"
+TOTAL = "round(list_reduce(list_prepend(0.0::DOUBLE, embedding::DOUBLE[]), lambda s, x: s + x), 6) AS total"
 MOVED = "SELECT vec_id + CASE WHEN vec_id % 3 = 0 THEN 1000000 ELSE 0 END AS id, CASE WHEN vec_id % 3 = 2 THEN list_reverse(embedding) ELSE embedding END AS embedding, 'new' AS payload, label FROM embeddings"
-HASH = "((vec_id * 2654435761 + 12345) % 65536)"
-LEVEL = "(" + " + ".join(f"CASE WHEN {HASH} % {1 << i} = 0 THEN 1 ELSE 0 END" for i in range(1, 17)) + ")"
-CSV = "array_to_string([round(x::DOUBLE, 4)::DECIMAL(10,4)::VARCHAR FOR x IN embedding[1:3]], ', ')"
+HASH = "('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT"
+LEVEL = "(" + " + ".join(f"CASE WHEN {HASH} % {1 << i} = 0 THEN 1 ELSE 0 END" for i in range(1, 33)) + ")"
 FORMS = "['{}', '+{}', ' {}', '{} ', '', '99999999999999999999{}', '1844674407370955161{}', '-{}', '000000000000000000000{}', '{}.5', '{}f', '1e4{}', '1e-6{}']"
 
 ORACLES = {
@@ -359,15 +348,15 @@ ORACLES = {
     "knn_excluding_self": join_sql(L2, 8, "a.vec_id <> b.vec_id"),
     "knn_payload_join": f"SELECT k.id, k.score, coalesce(t.text, '') AS payload FROM ({search_sql(COSINE)}) k LEFT JOIN documents t ON t.doc_id = k.id",
     "distances": f"SELECT a.vec_id AS id, round({L2}, 6) AS l2, round({IP}, 6) AS ip, round({COSINE}, 6) AS cosine FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b",
-    "full_scan": "SELECT vec_id AS id, round(list_reduce(list_prepend(0.0::DOUBLE, embedding::DOUBLE[]), lambda s, x: s + x), 6) AS total FROM embeddings",
-    "get_by_id": "SELECT vec_id AS id, round(embedding[1]::DOUBLE, 6) AS x0, concat('label ', label) AS payload FROM embeddings WHERE vec_id = 7",
+    "full_scan": f"SELECT vec_id AS id, {TOTAL} FROM embeddings",
+    "get_by_id": f"SELECT vec_id AS id, {TOTAL}, concat('label ', label) AS payload FROM embeddings WHERE vec_id = 7",
     "multi_get": "SELECT vec_id AS id, concat('label ', label) AS payload FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "list_indexes": f"SELECT DISTINCT index_name FROM {INDEXES}",
     "has_index": f"SELECT index_name, index_name IN (SELECT index_name FROM {INDEXES}) AS has FROM (VALUES ('ix3'), ('IX3'), ('missing')) t(index_name)",
     "prefix_scan": f"SELECT concat('record:', index_name, ':', lpad(id::VARCHAR, 20, '0')) AS record_key FROM {INDEXES} WHERE index_name = 'ix1'",
     "key_encoding": f"SELECT id, lpad(id::VARCHAR, 20, '0') AS id_text, (18446744073709551615::HUGEINT - id)::VARCHAR AS high_id_text, concat('record:', index_name, ':', lpad(id::VARCHAR, 20, '0')) AS record_key FROM {INDEXES}",
     "dimension_check": "SELECT vec_id AS id, 63::BIGINT AS dimension FROM embeddings WHERE vec_id % 7 = 0",
-    "upsert": f"WITH m AS ({MOVED}) SELECT vec_id AS id, round(embedding[1]::DOUBLE, 6) AS x0, concat('label ', label) AS payload FROM embeddings WHERE vec_id NOT IN (SELECT id FROM m) UNION ALL SELECT id, round(embedding[1]::DOUBLE, 6), payload FROM m",
+    "upsert": f"WITH m AS ({MOVED}) SELECT vec_id AS id, {TOTAL}, concat('label ', label) AS payload FROM embeddings WHERE vec_id NOT IN (SELECT id FROM m) UNION ALL SELECT id, {TOTAL}, payload FROM m",
     "upsert_changes": f"WITH m AS ({MOVED}) SELECT m.id, CASE WHEN e.vec_id IS NULL THEN 'insert' WHEN e.embedding = m.embedding THEN 'same' ELSE 'move' END AS change FROM m LEFT JOIN embeddings e ON e.vec_id = m.id",
     "delete_anti_join": "SELECT vec_id AS id, concat('label ', label) AS payload FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM embeddings d WHERE d.label = 3 AND d.vec_id = e.vec_id)",
     "changelog_replay": LOG,
@@ -385,18 +374,35 @@ p AS (SELECT *, row_number() OVER (ORDER BY kth_access IS NOT NULL, kth_access N
     "neighbour_expansion": f"""WITH {NEAR}, one AS (SELECT src AS qid, dst AS id FROM near WHERE src % 20 = 0)
 SELECT DISTINCT one.qid, near.dst AS id FROM one JOIN near ON near.src = one.id WHERE near.dst <> one.qid AND NOT EXISTS (SELECT 1 FROM one o WHERE o.qid = one.qid AND o.id = near.dst)""",
     "greedy_step": f"WITH {NEAR} SELECT src, arg_min(dst, (distance, dst)) AS dst, round(min(distance), 6) AS score FROM near GROUP BY src",
-    "csv_vector_parse": f"""WITH t AS (SELECT vec_id AS id, vec_id % 5 >= 2 AS valid, vec_id % 25 = 2 AS blank, [round(x::DOUBLE, 4)::DECIMAL(10,4)::VARCHAR::FLOAT::DOUBLE FOR x IN embedding[1:3]] AS v FROM embeddings)
-SELECT id, valid, CASE WHEN valid THEN CASE WHEN blank THEN 0 ELSE 3 END ELSE -1 END::BIGINT AS dimension, CASE WHEN valid THEN CASE WHEN blank THEN 0.0 ELSE round(v[1] + v[2] + v[3], 4) END END::DOUBLE AS total FROM t""",
-    "csv_vector_parse_whole": """WITH t AS (SELECT vec_id AS id, vec_id % 5 >= 2 AS valid, vec_id % 25 = 2 AS blank, [round(x::DOUBLE, 4)::DECIMAL(10,4)::VARCHAR::FLOAT::DOUBLE FOR x IN embedding] AS v FROM embeddings)
+    # a candidate is barred by the kept ones that it is nearer to than to the source; barred ones fill up
+    "diverse_neighbours": f"""WITH RECURSIVE {NEAR}, c AS (SELECT src, dst, distance, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS n FROM near),
+bars AS (SELECT c.src, c.n, list(k.n) AS ns FROM c JOIN c k ON k.src = c.src AND k.n < c.n JOIN d ON d.src = c.dst AND d.dst = k.dst WHERE d.distance < c.distance GROUP BY c.src, c.n),
+walk AS (SELECT DISTINCT src, 0::BIGINT AS n, []::BIGINT[] AS kept FROM c UNION ALL
+SELECT w.src, c.n, CASE WHEN len(w.kept) < 4 AND NOT list_has_any(w.kept, coalesce(b.ns, []::BIGINT[])) THEN list_append(w.kept, c.n) ELSE w.kept END FROM walk w JOIN c ON c.src = w.src AND c.n = w.n + 1 LEFT JOIN bars b ON b.src = c.src AND b.n = c.n),
+ends AS (SELECT src, arg_max(kept, n) AS kept FROM walk GROUP BY src),
+r AS (SELECT c.*, row_number() OVER (PARTITION BY c.src ORDER BY NOT list_contains(e.kept, c.n), c.n) AS place FROM c JOIN ends e ON e.src = c.src)
+SELECT src, dst, round(distance, 6) AS score FROM r WHERE place <= 4""",
+    "float_format": "SELECT id, place - 1 AS place, printf('%.6g', x::DOUBLE) AS plain, printf('%.6g', ((x * 1e9)::FLOAT)::DOUBLE) AS large FROM (SELECT vec_id AS id, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1))::INTEGER AS place FROM embeddings)",
+    # byte by byte over the table of the reversed polynomial
+    "payload_crc32c": f"""WITH b AS (SELECT doc_id, text, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor({codecs.CRC_TABLE}[(xor(c, x) & 255) + 1], c >> 8)), 4294967295::BIGINT) END AS crc FROM b""",
+    # ~ stands for the end of a line of the protocol
+    "command_session": """WITH s AS (SELECT printf('%.6g', 1 - x / sqrt(x * x + y * y)) AS score FROM (SELECT 0.9::FLOAT::DOUBLE AS x, 0.1::FLOAT::DOUBLE AS y)),
+t(step, command, reply) AS (VALUES (0, 'PING', '+PONG~'), (1, 'VCREATE docs 3 COSINE 8 32', '+OK~'), (2, 'VCREATE docs 3 L2', '-ERR index already exists: docs~'),
+(3, 'VPUT docs 1 1,0,0 alpha', '+OK~'), (4, 'VPUT docs 2 0.9,0.1,0 beta', '+OK~'), (5, 'VPUT docs 3 1,x', '-ERR invalid vector~'),
+(6, 'VSEARCH docs 1,0,0 2 16 WITHPAYLOADS', (SELECT concat('*2~*3~:1~$1~0~$5~alpha~*3~:2~$', length(score), '~', score, '~$4~beta~') FROM s)),
+(7, 'VGET docs 2', '*3~:2~*3~$3~0.9~$3~0.1~$1~0~$4~beta~'), (8, 'VDEL docs 2', ':1~'), (9, 'VDEL docs 2', '-ERR vector id not found~'),
+(10, 'VSTATS docs', '*10~$9~dimension~$1~3~$4~size~$1~1~$13~deleted_count~$1~0~$11~graph_edges~$1~0~$12~memory_bytes~$4~4120~'),
+(11, 'VLIST', '*1~$4~docs~'), (12, 'VDROP docs', '+OK~'), (13, 'VHASINDEX docs', ':0~'), (14, 'NOPE', '-ERR unknown command~'))
+SELECT step::BIGINT AS step, command, replace(reply, '~', concat(chr(13), chr(10))) AS reply FROM t""",
+    "csv_vector_parse": """WITH t AS (SELECT vec_id AS id, vec_id % 5 >= 2 AS valid, vec_id % 25 = 2 AS blank, [round(x::DOUBLE, 4)::DECIMAL(10,4)::VARCHAR::FLOAT::DOUBLE FOR x IN embedding] AS v FROM embeddings)
 SELECT id, valid, CASE WHEN valid THEN CASE WHEN blank THEN 0 ELSE len(v) END ELSE -1 END::BIGINT AS dimension, CASE WHEN valid THEN CASE WHEN blank THEN 0.0 ELSE round(list_reduce(list_prepend(0.0::DOUBLE, v), lambda s, x: s + x), 4) END END::DOUBLE AS total FROM t""",
     "number_parse": f"""WITH t AS (SELECT event_id, event_id % 13 AS f, replace({FORMS}[event_id % 13 + 1], '{{}}', (event_id % 10)::VARCHAR) AS text FROM events)
 SELECT event_id, text, CASE WHEN regexp_full_match(text, '[0-9]+') AND try_cast(text AS HUGEINT) <= 18446744073709551615::HUGEINT THEN try_cast(text AS HUGEINT)::VARCHAR END AS number,
 f IN (0, 1, 2, 5, 6, 7, 8, 9) AS is_float FROM t""",
     "metric_parse": """WITH t AS (SELECT event_id, ['l2', 'L2', 'ip', 'Inner_Product', 'INNERPRODUCT', 'cosine', 'cos', '', 'L2 '][event_id % 9 + 1] AS name FROM events)
 SELECT event_id, name, CASE upper(name) WHEN 'L2' THEN 'l2' WHEN 'IP' THEN 'ip' WHEN 'INNER_PRODUCT' THEN 'ip' WHEN 'INNERPRODUCT' THEN 'ip' WHEN 'COSINE' THEN 'cosine' END AS metric, upper(name) AS upper_name FROM t""",
-    "split_inline": r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(regexp_replace(concat('  VPUT', chr(9), role, ' ', chr(9), ' ', turn, '  ', substring(text, 1, 60)), '[\r\n]', ' ', 'g'), '[^ \t]+') AS parts FROM conversations)
-SELECT conv_id, turn, len(parts)::BIGINT AS n_args, parts[1] AS command, parts[2] AS index_name, parts[-1] AS last_arg FROM t""",
-    "split_inline_whole": r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(regexp_replace(concat('  VPUT', chr(9), role, ' ', chr(9), ' ', turn, '  ', text), '[\r\n]', ' ', 'g'), '[^ \t]+') AS parts FROM conversations)
+    "split_inline": r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(regexp_replace(concat('  VPUT', chr(9), role, ' ', chr(9), ' ', turn, '  ', text), '[\r\n]', ' ', 'g'), '[^ \t]+') AS parts FROM conversations)
 SELECT conv_id, turn, len(parts)::BIGINT AS n_args, parts[1] AS command, parts[2] AS index_name, parts[-1] AS last_arg FROM t""",
     "engine_round_trip": f"""WITH m AS ({MOVED}), u AS (SELECT vec_id, embedding, concat('label ', label) AS payload, label FROM embeddings WHERE vec_id NOT IN (SELECT id FROM m) UNION ALL SELECT id, embedding, payload, -1 FROM m),
 a AS (SELECT * FROM u WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 3))

@@ -20,7 +20,7 @@ def test_entry(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["knn_search_ip", "knn_join_cosine", "knn_excluding_self", "upsert", "changelog_replay", "number_parse", "csv_vector_parse", "lru_k_victims"])
+@pytest.mark.parametrize("name", ["knn_search_ip", "knn_join_cosine", "knn_excluding_self", "upsert", "changelog_replay", "number_parse", "csv_vector_parse", "lru_k_victims", "level_sampling", "diverse_neighbours", "float_format", "payload_crc32c", "command_session", "get_by_id"])
 def test_queries_match_their_sql(spark, name):
     db = duckdb.connect()
     for f in os.listdir(SF):
@@ -45,7 +45,7 @@ def against_sql(spark, name):
 
 @needs_data
 def test_split_inline_of_whole_turns(spark):
-    rows = against_sql(spark, "split_inline_whole")
+    rows = against_sql(spark, "split_inline")
     texts = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
     plain = {k: ["VPUT", "?", "?", *re.findall("[^ \t\r\n]+", t)] for k, t in texts.items()}
     assert len(rows) == len(texts) and all(r["n_args"] == len(plain[r["conv_id"], r["turn"]]) for r in rows)
@@ -55,7 +55,7 @@ def test_split_inline_of_whole_turns(spark):
 def test_whole_vectors_and_payloads(spark):
     from lodestar.functions import codecs
 
-    rows = against_sql(spark, "csv_vector_parse_whole")
+    rows = against_sql(spark, "csv_vector_parse")
     assert {r["dimension"] for r in rows} == {-1, 0, 64}
     vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
     got = {(r["id"], r["place"]): r["plain"] for r in own.QUERIES["float_format"](spark, SF).collect()}

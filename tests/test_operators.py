@@ -84,6 +84,15 @@ def test_levels_halve(spark):
     assert abs(n[0] - 10_000) < 600 and abs(n[1] - 5_000) < 500 and max(n) <= graph.TOP_LEVEL
 
 
+def test_levels_of_large_and_spaced_ids(spark):
+    top = (1 << 63) - 1
+    for ids in (spark.range(0, 65_536 * 4_000, 65_536), spark.range(top - 4_000, top), spark.range(-(1 << 63), -(1 << 63) + 4_000)):
+        n = dict(graph.nodes_of(ids).groupBy("level").count().collect())
+        assert abs(n[0] - 2_000) < 250 and abs(n[1] - 1_000) < 200 and len(n) > 6
+    least = spark.createDataFrame([(-(1 << 63), 3), (5, 3), (-9, 1)], "id long, level int")
+    assert tuple(graph.entry_point(least).first()) == (-(1 << 63), 3) and graph.entry_point(least.limit(0)).count() == 0
+
+
 def test_merge_takes_the_last_change(spark):
     old = spark.createDataFrame([(1, [1.0], "a"), (2, [2.0], "b")], "id long, embedding array<float>, payload string")
     log = [(1, "put", 1, [9.0], None), (3, "delete", 1, None, None), (2, "put", 1, [8.0], "x"), (1, "put", 3, [3.0], None), (5, "delete", 7, None, None)]
