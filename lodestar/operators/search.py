@@ -16,6 +16,8 @@ from lodestar.session import staged
 BLOCK_ROWS = 4_096
 BROADCAST_BYTES = 64 << 20
 
+HELD_ROWS = 1 << 18  # of a task's running result
+
 
 def nearest(records: DataFrame, query: list[float], top_k: int, metric: str = "l2") -> DataFrame:
     """id, score of the top_k records, nearest first; records at one distance by id. Only id and embedding are read."""
@@ -61,13 +63,25 @@ def best_of(metric: str, q: np.ndarray, r: np.ndarray, rid: np.ndarray, top_k: i
         yield i, rid[at][order], score[order]
 
 
+def least(parts: list[tuple[np.ndarray, ...]], top_k: int) -> tuple[np.ndarray, ...]:
+    """Of parts (qid, id, score) the top_k rows of each qid."""
+    qid, ids, score = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((ids, score, qid))
+    qid = qid[order]
+    at = np.arange(len(qid))
+    first = np.maximum.accumulate(np.where(np.r_[True, qid[1:] != qid[:-1]], at, 0))
+    keep = at - first < top_k
+    return qid[keep], ids[order][keep], score[order][keep]
+
+
 def nearest_join(queries: DataFrame, records: DataFrame, top_k: int, dimension: int, metric: str = "l2", excluding_self: bool = False) -> DataFrame:
     """qid, rank, id, score: the top_k records of every query, exactly.
 
     Both sides are packed into blocks of vectors, and each block of records meets each block of queries once: a matrix
     product finds what can be near, exact sums in element order decide. A task holds two blocks at a time, whatever
     the tables' sizes. The queries' blocks are broadcast only if they are measured to be under 64 MB; else Spark pairs
-    the blocks partition by partition. Every pair of blocks passes on at most top_k rows a query.
+    the blocks partition by partition. A task keeps the top_k rows of each query over all blocks it sees, HELD_ROWS rows at a time,
+    and passes on only these.
     """
     if top_k <= 0:
         raise InvalidArgument("top_k must be greater than zero")
@@ -77,16 +91,24 @@ def nearest_join(queries: DataFrame, records: DataFrame, top_k: int, dimension:
     pairs = held.crossJoin(F.broadcast(asked) if size <= BROADCAST_BYTES else asked)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        n = 0
         for batch in batches:
             for row in batch.to_pylist():
                 rid, qid = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["qids"], np.int64)
                 r = np.frombuffer(row["vectors"], np.float32).reshape(len(rid), dimension).astype(float)
                 q = np.frombuffer(row["queries"], np.float32).reshape(len(qid), dimension).astype(float)
-                found = list(best_of(metric, q, r, rid, top_k, qid if excluding_self else None))
-                yield pa.record_batch([
-                    pa.array(np.concatenate([np.full(len(ids), qid[i]) for i, ids, _ in found])),
-                    pa.array(np.concatenate([ids for _, ids, _ in found])), pa.array(np.concatenate([s for _, _, s in found])),
-                ], names=["qid", "id", "score"])
+                for i, ids, scores in best_of(metric, q, r, rid, top_k, qid if excluding_self else None):
+                    parts.append((np.full(len(ids), qid[i]), ids, scores))
+                    n += len(ids)
+                if n > HELD_ROWS:
+                    parts = [least(parts, top_k)]
+                    n = len(parts[0][0])
+                    if n > HELD_ROWS // 2:  # of very many queries
+                        yield pa.record_batch([pa.array(c) for c in parts[0]], names=["qid", "id", "score"])
+                        parts, n = [], 0
+        if parts:
+            yield pa.record_batch([pa.array(c) for c in least(parts, top_k)], names=["qid", "id", "score"])
 
     near = pairs.mapInArrow(each, "qid long, id long, score double")
     return ranked(near, top_k)
