@@ -41,6 +41,11 @@ def suffix_of(host: Column) -> Column:
     return F.when(host.isNotNull(), F.regexp_extract(host, r"\.([^.:]*)(?::[0-9]*)?$", 1))
 
 
+def page_text(html: Column) -> Column:
+    """A page without comments, scripts, styles, tags and entities; each leaves a blank."""
+    return F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)|<[^>]*>|&#?[a-z0-9]+;", " ")
+
+
 def text_model(docs: DataFrame, sample: int) -> tuple[list[str], np.ndarray]:
     """Languages by name and their log probabilities of byte 4-grams.
 
@@ -173,3 +178,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, p, declared, kept for all documents: `lang` is the declared language and `source` the host."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs, declared=F.lower("lang"), host=F.lower("source"))
+
+
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, lang, p, declared, kept for all pages: the text without markup, the markup's language, the address's host and its suffix."""
+    pages = table(spark, sf_dir, "pages").select("page_id", page_text(F.col("html").cast("string")).alias("text"), declared_in(F.col("html")).alias("declared"), host_of(F.col("url")).alias("host"))
+    return identify(pages, id_col="page_id", declared=F.col("declared"), host=F.nullif(F.col("host"), F.lit("")))

@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_url_filter": urlfilter.op4_url_filter,
     "op5_language_id": langid.op5_language_id,
+    "page_language": langid.page_language,
     "op6_fingerprints": fingerprint.op6_fingerprints,
     "op7_pii": pii.op7_pii,
     "op8_revisits": warc.op8_revisits,

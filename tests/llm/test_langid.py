@@ -66,6 +66,13 @@ def test_page_evidence(spark):
     assert [tuple(r) for r in got] == [("fr", "a.example.com:80", "com"), ("de", "b.net", "net"), (None, "", ""), (None, None, None)]
 
 
+def test_page_text(spark):
+    given = ["<p>a</p>b", "x<!-- <p> y -->z", "<SCRIPT a='b'>var t = '</p>';</Script >k<style>p{}</style>", "a&amp;b&#39;c & d", "<p unended", "<script>never ended", "a < b", "", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, html string").orderBy("i")
+    got = [r[0] if r[0] is None else r[0].split() for r in rows.select(langid.page_text(F.col("html"))).collect()]
+    assert got == [["a", "b"], ["x", "z"], ["k"], ["a", "b", "c", "&", "d"], ["<p", "unended"], [], ["a", "<", "b"], [], None]
+
+
 def test_without_declared_languages_or_rows(spark):
     docs = frame(spark, ["some text", None])
     assert [r["kept"] for r in langid.identify(docs).collect()] == [False, False]

@@ -147,27 +147,55 @@ def test_quality_verdicts(spark, folder, rows):
     assert seen == {(True, False), (False, True), (False, False)}
 
 
-def test_language_posteriors(spark, folder, rows):
-    """The fusion by hand: text likelihoods over the smoothed shares of hosts and of declared languages."""
-    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id is not null")
-    out = {r["doc_id"]: r for r in langid.identify(docs, declared=langid.F.col("lang"), host=langid.F.col("source")).collect()}
-    flat = docs.select(langid.F.col("doc_id").alias("row"), langid.F.coalesce("text", langid.F.lit("")).alias("text"), langid.F.col("lang").alias("declared"), langid.F.col("source").alias("host"))
+def against_fusion(out, flat):
+    """The fusion by hand: text likelihoods over the smoothed shares of hosts, suffixes and declared languages."""
     names, model = langid.text_model(flat, 8_000)
     scored = langid.text_evidence(flat, names, model, 6.0).collect()
     n = len(names) + 1
+    suffix_of = lambda h: None if h is None else h.rpartition(".")[2].split(":")[0] if "." in h else ""
     tally = lambda keep: [sum(r["seen"] == k for r in scored if keep(r)) for k in range(n)]
     every = tally(lambda r: True)
     overall = [(c + 1) / (sum(every) + n) for c in every]
-    # source has no dots: its suffix is the empty one
-    suffix = [(c + 20 * o) / (sum(every) + 20) for c, o in zip(every, overall, strict=True)]
     smooth = lambda c, above: [(x + 20 * a) / (sum(c) + 20) for x, a in zip(c, above, strict=True)]
     for r in scored:
-        host = smooth(tally(lambda x, h=r["host"]: x["host"] == h), suffix)
-        beside = smooth(tally(lambda x, d=r["declared"]: x["declared"] == d), overall)
-        logs = [e + math.log(h) + math.log(b / o) for e, h, b, o in zip(r["evidence"], host, beside, overall, strict=True)]
+        prior, beside = overall, overall
+        if r["host"] is not None:
+            prior = smooth(tally(lambda x, s=suffix_of(r["host"]): suffix_of(x["host"]) == s), overall)
+            prior = smooth(tally(lambda x, h=r["host"]: x["host"] == h), prior)
+        if r["declared"] is not None:
+            beside = smooth(tally(lambda x, d=r["declared"]: x["declared"] == d), overall)
+        logs = [e + math.log(h) + math.log(b / o) for e, h, b, o in zip(r["evidence"], prior, beside, overall, strict=True)]
         peak = max(logs)
         p = 1 / sum(math.exp(x - peak) for x in logs)
         lang = [*names, None][logs.index(peak)]
         assert out[r["row"]]["lang"] == lang and math.isclose(out[r["row"]]["p"], p, rel_tol=1e-6)
         assert out[r["row"]]["kept"] == (lang is not None and p >= 0.5)
+
+
+def test_language_posteriors(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id is not null")
+    out = {r["doc_id"]: r for r in langid.identify(docs, declared=langid.F.col("lang"), host=langid.F.col("source")).collect()}
+    against_fusion(out, docs.select(langid.F.col("doc_id").alias("row"), langid.F.coalesce("text", langid.F.lit("")).alias("text"), langid.F.col("lang").alias("declared"), langid.F.col("source").alias("host")))
     assert {r["lang"] for r in out.values()} == {"de", "en", None}
+
+
+def test_page_posteriors(spark, tmp_path):
+    """Pages of two languages, hosts of several suffixes, markup that is right, wrong or silent, and awkward rows."""
+    rng = random.Random(5)
+    pages, plain = [], []
+    for i in range(60):
+        lang = "de" if i % 3 == 0 else "en"
+        text = prose(rng, rng.choice([2, 40]), *([GERMAN] if lang == "de" else []))
+        declared = [lang, "de", None][i % 4 % 3]
+        host = f"h{i % 5}.{lang if i % 7 else 'org'}"
+        markup = f"<html lang='{declared.upper()}'>" if declared else "<html>"
+        pages.append((i, f"http://{host.upper()}/p?{i}", f"{markup}<script>the the the</script><p>{text}</p><!-- ing --></html>"))
+        plain.append((i, text, declared, host))
+    pages += [(100, None, "<html lang=de><p>er"), (101, "no address", "12"), (102, "http://h1.de:80/", None)]
+    plain += [(100, "er", "de", None), (101, "12", None, None), (102, "", None, "h1.de:80")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = QUERIES["page_language"](spark, str(tmp_path)).collect()
+    out = {r["page_id"]: r for r in rows}
+    assert len(rows) == len(out) == len(pages)
+    against_fusion(out, spark.createDataFrame(plain, "row long, text string, declared string, host string"))
+    assert {"de", "en"} <= {r["lang"] for r in rows}
