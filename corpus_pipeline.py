@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import langid, mixing, neardup, packing, pii
-from lodestar.session import staged, table
+from lodestar.session import staged, table, unstage
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        done = staged(stage(spark, docs, sf_dir))
+        if before is not None:
+            unstage(before)
+        docs = before = done
     return STAGES[-1][1](spark, docs, sf_dir)
