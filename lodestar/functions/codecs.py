@@ -20,6 +20,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 METRIC_NAMES = {"L2": "l2", "IP": "ip", "INNER_PRODUCT": "ip", "INNERPRODUCT": "ip", "COSINE": "cosine"}
 
 FLOAT = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+HEX_FLOAT = r"\A[+-]?0[xX](?=\.?[0-9a-fA-F])([0-9a-fA-F]*)\.?([0-9a-fA-F]*)(?:[pP]([+-]?[0-9]+))?\z"
+INFINITE, NOT_A_NUMBER = r"(?i)\A[+-]?inf(?:inity)?\z", r"(?i)\A[+-]?nan(?:\([a-z0-9_]*\))?\z"
 LEAST_NORMAL = 1.1754943508222875e-38  # of a float; what rounds to less overflows downwards
 SPACE = r"[\x20\t\n\x0B\f\r]"
 
@@ -35,17 +37,29 @@ def parse_uint64(s: Column) -> Column:
     return F.when(number <= F.lit("18446744073709551615").cast("decimal(20,0)"), number)
 
 
+def hex_double(text: Column) -> Column:
+    """The size of a hexadecimal float, in double: 13 digits exactly, and half a unit if any later one is not 0, so that a float rounds right."""
+    fraction, power = F.regexp_extract(text, HEX_FLOAT, 2), F.regexp_extract(text, HEX_FLOAT, 3)
+    digits = F.regexp_replace(F.concat(F.regexp_extract(text, HEX_FLOAT, 1), fraction), r"\A0+", "")
+    head = F.coalesce(F.conv(F.substring(digits, 1, 13), 16, 10).cast("double"), F.lit(0.0))
+    head = head + F.when(F.regexp_replace(digits, r"\A.{1,13}", "").rlike("[^0]"), 0.5).otherwise(0.0)
+    exponent = 4 * F.greatest(F.length(digits) - 13, F.lit(0)) - 4 * F.length(fraction) + F.coalesce(power.try_cast("double"), F.lit(0.0))
+    return F.when(digits == "", 0.0).otherwise(head * F.pow(F.lit(2.0), exponent))
+
+
 def parse_float(s: Column) -> Column:
     """float of a whole string, null if malformed or out of a float's range, either way.
 
-    White space may stand before the number. nan, inf and hexadecimal numbers are not taken from columns.
+    White space may stand before the number. Decimal and hexadecimal numbers, inf and nan are taken.
     """
     text = F.regexp_replace(s, rf"\A{SPACE}+", "")
-    number = F.when(text.rlike(rf"\A{FLOAT}\z"), text).try_cast("double")
-    zero = text.rlike(r"\A[+-]?0*\.?0*(?:[eE][+-]?[0-9]+)?\z")
+    sign = F.when(text.startswith("-"), -1.0).otherwise(1.0)
+    number = F.when(text.rlike(rf"\A{FLOAT}\z"), text.try_cast("double")).when(text.rlike(HEX_FLOAT), sign * hex_double(text))
+    zero = text.rlike(r"\A[+-]?0*\.?0*(?:[eE][+-]?[0-9]+)?\z") | text.rlike(r"\A[+-]?0[xX]0*\.?0*(?:[pP][+-]?[0-9]+)?\z")
     single = number.cast("float")
     fits = (F.abs(single) < F.lit(float("inf")).cast("float")) & (zero | (F.abs(number) >= LEAST_NORMAL))
-    return F.when(fits, single)
+    word = F.when(text.rlike(INFINITE), sign * float("inf")).when(text.rlike(NOT_A_NUMBER), float("nan"))
+    return F.when(fits, single).otherwise(word.cast("float"))
 
 
 def parse_metric(s: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.errors import InvalidArgument
+from lodestar.errors import InvalidArgument, IOFailure
+from lodestar.functions.codecs import crc32c_of
 
 
 def latest(changes: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
@@ -72,6 +73,16 @@ def victims(accesses: DataFrame, key: str, at: str, n: int, k: int = 2) -> DataF
     return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def replayed(images: DataFrame, page: str, order: str) -> DataFrame:
-    """The last image of every page, as a log replayed in order leaves it."""
+def check_images(images: DataFrame, body: str, size: int, checksum: str) -> None:
+    """Fails if an image is not `size` bytes long or its CRC32C is not the one in the column `checksum`; a null is a fault too."""
+    sized = F.octet_length(body).eqNullSafe(size)
+    bad = images.where(~(sized & F.col(checksum).eqNullSafe(crc32c_of(F.col(body).cast("binary"))))).select(sized.alias("sized")).first()
+    if bad is not None:
+        raise IOFailure("checksum mismatch in the page log" if bad["sized"] else "page log record of unexpected size")
+
+
+def replayed(images: DataFrame, page: str, order: str, body: str | None = None, size: int = 0, checksum: str = "checksum") -> DataFrame:
+    """The last image of every page, as a log replayed in order leaves it. With `body` every image is checked first."""
+    if body is not None:
+        check_images(images, body, size, checksum)
     return latest(images, page, order)

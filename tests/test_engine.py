@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from lodestar import cli
 from lodestar.errors import AlreadyExists, InvalidArgument, IOFailure, NotFound
 from lodestar.functions.resp import Failure, Simple
 from lodestar.options import CHANGES, IndexOptions, SearchOptions
@@ -185,3 +186,17 @@ def test_commands(spark, path):
     assert run("VSTATS docs") == ["dimension", "3", "size", "1", "deleted_count", "0", "graph_edges", "0", "memory_bytes", "4120"]
     assert run("VDROP docs") == Simple("OK") and run("VHASINDEX docs") == 0
     assert run("QUIT") == Simple("OK") and c.closed
+
+
+def test_command_line(spark, path, capsys):
+    def said(*words):
+        code = cli.main(["--path", path, *words])
+        return code, capsys.readouterr().out.strip()
+
+    assert cli.main(["--path", path]) == 1 and "usage" in capsys.readouterr().out
+    assert said("VCREATE", "docs", "2", "L2") == (0, "OK")
+    assert said("VPUT", "docs", "7", "1,0", "alpha")[0] == 0
+    code, text = said("VSEARCH", "docs", "1,0", "1", "WITHPAYLOADS")
+    assert code == 0 and "7" in text and "alpha" in text
+    code, text = said("NOPE")
+    assert code == 1 and "unknown command" in text.lower()

@@ -114,3 +114,20 @@ def test_bounded_samples(spark):
     some = [r["id"] for r in bounded_sample(spark.range(20_000), "id", 500).collect()]
     assert len(some) == 500 and some == [r["id"] for r in bounded_sample(spark.range(20_000).repartition(7), "id", 500).collect()]
     assert 8_000 < sum(some) / 500 < 12_000 and bounded_sample(spark.range(0), "id", 5).count() == 0
+
+
+def test_replay_refuses_bad_images(spark):
+    from lodestar.errors import IOFailure
+    from lodestar.functions.codecs import crc32c
+
+    def images(*rows):
+        return spark.createDataFrame([(i, p, None if b is None else bytearray(b), c) for i, (p, b, c) in enumerate(rows)], "seq long, page long, body binary, checksum long")
+
+    good = [(p, b, crc32c(b)) for p, b in ((1, b"aaaa"), (2, b"bbbb"), (1, b"cccc"))]
+    out = records.replayed(images(*good), "page", "seq", "body", 4)
+    assert {r["page"]: bytes(r["body"]) for r in out.collect()} == {1: b"cccc", 2: b"bbbb"}
+    for bad, message in (((1, b"dddd", 7), "checksum"), ((1, b"dddd", None), "checksum"), ((1, b"ddd", crc32c(b"ddd")), "size"), ((1, None, 0), "size")):
+        with pytest.raises(IOFailure, match=message):
+            records.replayed(images(*good, bad), "page", "seq", "body", 4)
+    assert records.replayed(images(*good, (3, b"d", 0)), "page", "seq").count() == 3
+    assert records.replayed(images(*good).limit(0), "page", "seq", "body", 4).count() == 0
