@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.session import table
@@ -144,32 +145,97 @@ def fingerprints(docs: DataFrame, k: int = 16, s: int = 10, keep: int = PARTS, i
     return rows.mapInArrow(each, "id long, fingerprint string").withColumnRenamed("id", id_col)
 
 
+@dataclass(frozen=True)
+class Ranges:
+    """Cuts of the order by descending doc_id; positions count from its beginning.
+
+    The range that ends at ends[i] holds the ids above ends[i - 1], the last one those above all ends. One with bits holds one id alone and is cut
+    further into 2 ** bits even parts of the text's hash, those of null ids after the others.
+    """
+
+    ends: np.ndarray
+    bits: np.ndarray
+
+    def split(self, at: np.ndarray) -> np.ndarray:
+        return self.bits[at] > 0
+
+    def place(self, ids: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, ids)
+
+    def position(self, at: np.ndarray, none: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        width = np.where(self.bits > 0, 2 << self.bits, 1)
+        bits = self.bits[at]
+        part = ((tie.view(np.uint64) ^ np.uint64(1 << 63)) >> (64 - np.maximum(bits, 1)).astype(np.uint64)).astype(np.int64)
+        return (width.sum() - width.cumsum())[at] + np.where(bits > 0, (none.astype(np.int64) << bits) + part, 0)
+
+
+def columns_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_id, none, tie."""
+    return batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
+
+
+def heads(keys: DataFrame, ranges: Ranges) -> list[Row]:
+    """position, n, below (~doc_id) and tie of the first row of every position that has rows; keys are (doc_id, none, tie)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, none, tie = columns_of(batch)
+                at = ranges.position(ranges.place(ids), none, tie)
+                order = np.lexsort((tie, ~ids, at))
+                own, first, n = np.unique(at[order], return_index=True, return_counts=True)
+                yield pa.record_batch([pa.array(own), pa.array(n), pa.array(~ids[order][first]), pa.array(tie[order][first])], names=["position", "n", "below", "tie"])
+
+    parts = keys.mapInArrow(each, "position long, n long, below long, tie long")
+    least = parts.groupBy("position").agg(F.sum("n").alias("n"), F.min(F.struct("below", "tie")).alias("m"))
+    return least.select("position", "n", "m.below", "m.tie").orderBy("position").collect()
+
+
 def followed(docs: DataFrame, rows_a_range: int = 2_000, most_ranges: int = 100_000) -> DataFrame:
     """Rows (span, ghost, doc_id, none, tie, text), sorted so that each document stands before the next one by descending doc_id.
 
-    The table is dealt to ranges of doc_id in one shuffle. Ranges end at doc_ids that exist, approximate quantiles;
-    the rows with such an id are also sent, as ghosts, to the range that they follow, the very first ones to the last
-    range. Only the cuts go to the driver, at most `most_ranges` numbers. Rows of one doc_id are in the order of their
-    text's hash. A row without a doc_id (none) comes after all others; its doc_id reads as the least long.
+    The table is dealt to ranges of doc_id in one shuffle. Ranges end near quantiles; quantiles are computed in doubles, so the ids at which
+    ranges begin are then read from the table. The first rows of a range are also sent, as ghosts, to the range before it, the very first ones
+    to the last range. Rows of one doc_id are in the order of their text's hash, and an id that fills ranges by itself is cut by that hash; only
+    rows that are equal in both stay together. What goes to the driver are the ranges, a few times `most_ranges` numbers at most. A row
+    without a doc_id (none) comes after all others; its doc_id reads as the least long.
     """
     lowest = -(1 << 63)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = rows.select("doc_id")
-    n = ids.count()
-    ranges = max(1, min(most_ranges, -(-n // rows_a_range)))
-    top = ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], min(20 * ranges, 1_000_000)).alias("cuts"), F.max("doc_id").alias("top")).first()
-    cuts = np.unique(np.array([*(top["cuts"] or [] if ranges > 1 else []), top["top"] or 0], np.int64))
+    n = rows.count()
+    parts = max(1, min(most_ranges, -(-n // rows_a_range)))
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], min(20 * parts, 1_000_000)).alias("cuts")).first()["cuts"] if parts > 1 else None
+    ends = np.unique(np.array(cuts or [], np.int64))
+    ranges = Ranges(ends, np.zeros(len(ends) + 1, np.int64))
+    tie = F.xxhash64("text").alias("tie")
+    first = heads(rows.select("doc_id", "none", F.lit(0).cast("long").alias("tie")), ranges)
+    much = 4 * max(rows_a_range, -(-n // parts))
+    if any(r["n"] > much for r in first):
+        hot = {r["doc_id"]: r["count"] for r in rows.groupBy("doc_id").count().where(F.col("count") > much // 2).collect()}
+        ends = np.unique(np.array([*ends.tolist(), *hot, *(h - 1 for h in hot if h > lowest)], np.int64))
+        bits = [int(4 * hot[e] // much).bit_length() if e in hot else 0 for e in ends.tolist()]
+        ranges = Ranges(ends, np.array([*bits, 0], np.int64))
+        if hot:
+            first = heads(rows.select("doc_id", "none", tie), ranges)
+    positions, head_id, head_tie = (np.array([r[c] for r in first], np.int64) for c in ("position", "below", "tie"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            span = np.searchsorted(cuts, ids)
-            head = np.flatnonzero(cuts[np.minimum(span, len(cuts) - 1)] == ids)
-            for rows, at, ghost in ((batch, span, False), (batch.take(pa.array(head)), (span[head] + 1) % len(cuts), True)):
-                if rows.num_rows:
-                    yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(np.full(rows.num_rows, ghost)), *rows.columns], names=["span", "ghost", "doc_id", "none", "tie", "text"])
-
-    dealt = rows.select("doc_id", "none", F.xxhash64("text").alias("tie"), "text").mapInArrow(deal, "span int, ghost boolean, doc_id long, none boolean, tie long, text string")
+            if not batch.num_rows:
+                continue
+            ids, none, ties = columns_of(batch)
+            at = ranges.place(ids)
+            span = np.searchsorted(positions, ranges.position(at, none, ties))
+            alone = ranges.split(at)
+            head = (~head_id[span] == ids) & (~alone | (head_tie[span] == ties))
+            # the first rows of a part of an id are all equal, and one of them is enough
+            ghosts = np.concatenate([np.flatnonzero(head & ~alone), np.unique(np.where(head & alone, span, -1), return_index=True)[1]])
+            ghosts = np.unique(ghosts[head[ghosts]])
+            for some, to, ghost in ((batch, span, False), (batch.take(pa.array(ghosts)), (span[ghosts] - 1) % len(positions), True)):
+                if some.num_rows:
+                    yield pa.record_batch([pa.array(to.astype(np.int32)), pa.array(np.full(some.num_rows, ghost)), *some.columns], names=["span", "ghost", "doc_id", "none", "tie", "text"])
+
+    dealt = rows.select("doc_id", "none", tie, "text").mapInArrow(deal, "span int, ghost boolean, doc_id long, none boolean, tie long, text string")
     return dealt.repartition("span").sortWithinPartitions("span", "ghost", F.desc("doc_id"), "none", "tie")
 
 

@@ -286,7 +286,7 @@ def joined_spans(column: str):
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract columns: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """Contract columns: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; and n_spans, the number of all spans."""
     found = detect(table(spark, sf_dir, "documents"))
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(n, KINDS), F.sha2(joined_spans("base"), 256).alias("base_sha256"), joined_spans("found").alias("spans"))
+    return found.select("doc_id", *map(n, KINDS), F.sha2(joined_spans("base"), 256).alias("base_sha256"), joined_spans("found").alias("spans"), F.size("found").cast("long").alias("n_spans"))

@@ -79,3 +79,21 @@ def test_few_rows_nulls_and_repeats(spark):
     many = spark.createDataFrame([(1, "a b c")] * 5 + [(None, "x"), (2, None)], "doc_id long, text string")
     assert fp.compare_with_next(many).count() == 7
     assert fp.fingerprints(many).count() == 7
+
+
+@pytest.mark.parametrize("few", [3, 2_000])
+def test_large_and_hot_ids(spark, monkeypatch, few):
+    """Ids that doubles cannot tell apart, one id on a third of the rows and nulls on another third: every row has its follower."""
+    monkeypatch.setattr(fp.followed, "__defaults__", (few, 100_000))
+    top = (1 << 63) - 1
+    ids = [top - i for i in range(40)] + [(1 << 60) + i for i in range(40)] + [5] * 90 + [-(1 << 63)] * 3 + [None] * 90
+    rows = [(d, f"{i % 80} words of text" if d in (5, None) else f"a text of number {i}") for i, d in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tie = {r["text"]: r["tie"] for r in docs.selectExpr("text", "xxhash64(text) as tie").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]]))
+    want = [(d, hashlib.sha256(fp.edited(t, order[(i + 1) % len(order)][1]).encode()).hexdigest()) for i, (d, t) in enumerate(order)]
+    got = [tuple(r) for r in fp.compare_with_next(docs.repartition(5)).select("doc_id", "edited_sha256").collect()]
+    plain = lambda rows: sorted((d is None, d or 0, h) for d, h in rows)
+    assert plain(got) == plain(want)
+    hot = fp.followed(docs).where("not ghost and (none or doc_id = 5)").groupBy("span").count()
+    assert few > 3 or max(r["count"] for r in hot.collect()) <= 20  # of 90 each
