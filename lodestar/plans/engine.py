@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestar.errors import AlreadyExists, InvalidArgument, NotFound
 from lodestar.operators import graph, records, search
 from lodestar.options import CHANGES, EDGES, NODES, RECORDS, IndexOptions, ReadOptions, SearchOptions, WriteOptions
+from lodestar.session import staged, unstage
 from lodestar.sources.store import Store
 
 MOST_DELTAS = 8
@@ -95,18 +96,21 @@ class Engine:
         records.check_dimension(changes.where("op = 'put'"), options.dimension)
         step = len(entry["deltas"]) + 1
         path = self.store.write(records.latest(changes).withColumn("seq", F.lit(step).cast("long")), "id")
-        stays = entry["graph"] is not None and self._vectors_stay(name, path)
-        entry = {**entry, "deltas": [*entry["deltas"], path], "graph": entry["graph"] if stays else None, "batch": batch or entry["batch"]}
+        made = self._graph_after(name, path) if entry["graph"] else None
+        entry = {**entry, "deltas": [*entry["deltas"], path], "graph": made, "batch": batch or entry["batch"]}
         self._commit(name, entry)
         if len(entry["deltas"]) > MOST_DELTAS:
             self.compact(name)
 
-    def _vectors_stay(self, name: str, delta: str) -> bool:
-        """Whether a change leaves all vectors as they were, so that the graph still holds: only payloads are new."""
+    def _graph_after(self, name: str, delta: str) -> dict | None:
+        """What a change leaves of the graph: all of it if only payloads are new, one to be grown if there are new ids, none if
+        vectors moved or went."""
         new = self.store.read(delta, CHANGES)
         if not new.where("op <> 'put'").isEmpty():
-            return False
-        return records.changed_vectors(self.records(name), new).where("change <> 'same'").isEmpty()
+            return None
+        kinds = {r["change"] for r in records.changed_vectors(self.records(name), new).select("change").distinct().collect()}
+        made = self._entry(name)["graph"]
+        return None if "move" in kinds else {**made, "grown": True} if "insert" in kinds else made
 
     def compact(self, name: str) -> None:
         entry = self._entry(name)
@@ -172,22 +176,37 @@ class Engine:
         return search.nearest_join(queries.select(F.col("qid").alias("id"), "embedding"), held, options.top_k, index.dimension, index.metric)
 
     def build_graph(self, name: str) -> None:
-        """Makes the neighbour graph of the records as they are; a change of vectors makes it stale."""
+        """Makes the neighbour graph of the records as they are; a change of vectors makes it stale, new records are inserted."""
         index = self.options(name)
-        nodes, edges = graph.build(self.records(name), index.dimension, index.metric, index.max_degree, index.ef_construction)
+        self._keep_graph(name, *graph.build(self.records(name), index.dimension, index.metric, index.max_degree, index.ef_construction))
+
+    def _grow_graph(self, name: str) -> None:
+        """Inserts the records that are not nodes yet; where they are over a quarter of all, the graph is made anew."""
+        index, made, held = self.options(name), self._entry(name)["graph"], self.records(name)
+        nodes, edges = self.store.read(made["nodes"], NODES), self.store.read(made["edges"], EDGES)
+        added = staged(held.select("id", "embedding").join(nodes.select("id"), "id", "left_anti"))
+        if 4 * added.count() > held.count():
+            self.build_graph(name)
+        else:
+            self._keep_graph(name, *graph.inserted(nodes, edges, held, added, index.dimension, index.metric, index.max_degree, index.ef_construction))
+        unstage(added)
+
+    def _keep_graph(self, name: str, nodes: DataFrame, edges: DataFrame) -> None:
         self._commit(name, {**self._entry(name), "graph": {"nodes": self.store.write(nodes), "edges": self.store.write(edges, "src")}})
 
     def graph(self, name: str) -> tuple[DataFrame, DataFrame]:
-        """nodes and edges; made anew if there is no graph of the present vectors."""
-        if self._entry(name)["graph"] is None:
+        """nodes and edges of the present vectors; made or grown first if need be."""
+        made = self._entry(name)["graph"]
+        if made is None:
             self.build_graph(name)
+        elif made.get("grown"):
+            self._grow_graph(name)
         made = self._entry(name)["graph"]
         return self.store.read(made["nodes"], NODES), self.store.read(made["edges"], EDGES)
 
     def stats(self, name: str) -> dict[str, int]:
         """dimension, size, deleted_count, graph_edges (0 while there is no graph), memory_bytes."""
-        made = self._entry(name)["graph"]
-        edges = self.store.read(made["edges"], EDGES) if made else None
+        edges = self.graph(name)[1] if self._entry(name)["graph"] else None
         return graph.stats(self.records(name).select("id"), edges, self.options(name).dimension).first().asDict()
 
     # helpers

@@ -6,6 +6,7 @@ import pytest
 from lodestar import cli
 from lodestar.errors import AlreadyExists, InvalidArgument, IOFailure, NotFound
 from lodestar.functions.resp import Failure, Simple
+from lodestar.operators import graph
 from lodestar.options import CHANGES, IndexOptions, SearchOptions
 from lodestar.plans.commands import Commands
 from lodestar.plans.engine import Engine
@@ -147,6 +148,26 @@ def test_graph_mode(spark, path):
     assert len(near & exact) >= 0.9 * len(exact)
     e.put_many("v", spark.createDataFrame(rows[:1], "id long, embedding array<float>"))
     assert e.store.indexes["v"]["graph"] is not None  # the vector is the same
+    old = {(r["layer"], r["src"]) for r in made}
+    more = [(1_000 + i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(12, 6)).astype(np.float32))]
+    e.put_many("v", spark.createDataFrame(more, "id long, embedding array<float>"))
+    assert e.store.indexes["v"]["graph"]["grown"]
+    grown = e.graph("v")[1].collect()
+    assert "grown" not in e.store.indexes["v"]["graph"] and e.stats("v")["graph_edges"] == len(grown)
+    lists = {}
+    for r in grown:
+        lists.setdefault((r["layer"], r["src"]), set()).add(r["dst"])
+    assert max(map(len, lists.values())) <= 8 and old < set(lists) and {r["id"] for r in e.graph("v")[0].collect()} == {i for i, _ in rows + more}
+    for key in old:  # a node that no new one names keeps its edges
+        before = {r["dst"] for r in made if (r["layer"], r["src"]) == key}
+        assert lists[key] == before or any(key[1] in lists[key[0], i] for i, _ in more if (key[0], i) in lists)
+    vectors = dict(rows + more)
+    for i, v in more:  # the new ones' diverse neighbours, recomputed; back links may have been pruned, or added to them
+        order = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), j) for j, w in vectors.items() if j != i)[:32]
+        want = graph.diverse(np.array([vectors[j] for _, j in order]), np.array(v), "l2", 8)
+        assert len(lists[0, i] & {order[k][1] for k in want}) >= 6
+    near = [r["id"] for r in e.search_many("v", spark.createDataFrame(more, "qid long, embedding array<float>"), SearchOptions(1, 40, mode="graph")).orderBy("qid").collect()]
+    assert near == [i for i, _ in more]
     e.put("v", 0, [0.0] * 6)
     assert e.store.indexes["v"]["graph"] is None
 
