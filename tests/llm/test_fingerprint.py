@@ -97,3 +97,35 @@ def test_large_and_hot_ids(spark, monkeypatch, few):
     assert plain(got) == plain(want)
     hot = fp.followed(docs).where("not ghost and (none or doc_id = 5)").groupBy("span").count()
     assert few > 3 or max(r["count"] for r in hot.collect()) <= 20  # of 90 each
+
+
+def test_edited_anchors_are_those_of_the_edited_text():
+    """Found from both texts' anchors and the seam, for texts shorter than a k-mer too."""
+    rng = random.Random(7)
+    texts = [*(t or "" for t in AWKWARD), *("".join(rng.choices("ab", k=rng.randint(0, 70))) for _ in range(400)), *(prose(rng, rng.randint(1, 40)) for _ in range(40))]
+    rng.shuffle(texts)
+    for keep in (64, 16):
+        for one, two in zip(texts, texts[1:]):
+            own, after = fp.found(one, 16, 10, keep), fp.found(two, 16, 10, keep)
+            other = fp.edited_anchors(own, after, one, two, 16, 10, keep)
+            assert other.tolist() == fp.found(fp.edited(one, two), 16, 10, keep).tolist()
+            plain = fp.likeness(fp.fingerprint(one, 16, 10, keep), fp.fingerprint(fp.edited(one, two), 16, 10, keep), keep)
+            assert fp.alike(fp.first(own), fp.first(other)) == plain
+
+
+def test_little_is_shuffled_and_sorted_at_once(spark, monkeypatch):
+    """Texts go compressed, of equal ids one row a batch goes twice, and many rows are sorted in more tasks than the session's."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i // 50, f"{i} {prose(rng, 300)}") for i in range(2_000)], "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(fp.followed, "__defaults__", (50, 100_000))
+    dealt = fp.followed(docs)
+    kinds = dict(dealt.dtypes)
+    sent = sum(len(r["packed"]) for r in dealt.select("packed").collect())
+    assert kinds["packed"] == "binary" and sent < 0.5 * docs.selectExpr("sum(octet_length(text)) as n").first()["n"]
+    spans = dealt.select("span").distinct().count()
+    assert spans > 30 and dealt.where("ghost").count() <= 2 * spans  # one from each of two tasks
+    assert dealt.rdd.getNumPartitions() == -(-spans // fp.RANGES_A_TASK) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert fp.compare_with_next(docs).count() == 2_000
+    for text in [*AWKWARD, *("ab" * n + "c" * m for n in range(20) for m in range(20))]:  # some as long as when compressed
+        packed, size = fp.packs(fp.pa.array([text or ""]))
+        assert fp.unpacked(packed[0].as_py(), size[0].as_py()) == (text or "")
