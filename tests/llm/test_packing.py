@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -156,6 +157,20 @@ def test_word_memos_agree_with_the_tokenizer():
         assert np.frombuffer(words.text(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_together_look_up_each_unit_once():
+    """However small the memos are; ids and bounds are those of each text by itself."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, words = Tokenizer.from_file(path), WordIds(path, words=5, units=5)
+    rng = random.Random(3)
+    many = [f"{prose(rng, 1)}{'é' * (i % 2)}" for i in range(200)]
+    texts = [*(" ".join(rng.choice(many).capitalize() + rng.choice(["", ".", ",", "?!"]) for _ in range(300)) for _ in range(20)), *AWKWARD]
+    made, unit = [], words.units.make
+    words.units.make = lambda u: made.append(u) or unit(u)
+    ids, bounds = words.texts(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(made) <= len(set(many)) + 30  # of 6,000 words
+
+
 def test_packing_round_trip(spark):
     rng = random.Random(2)
     texts = [*AWKWARD, *(prose(rng, rng.randint(1, 900)) for _ in range(60)), *["same text here"] * 50, prose(rng, 6000)]
